@@ -1,0 +1,11 @@
+"""A PySpark-native analytics engine for photo-library style data.
+
+Functions sent to executors are pickled by value, so workers need no copy of
+the package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
