@@ -46,4 +46,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND {_RULES} AS kept
 FROM m"""
 
-ORACLES = {"op1_quality_rules": OP1}
+OP2 = """WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+win AS (SELECT rid, i, sha256(array_to_string(ws[i:i + 34], ' ')) AS k
+    FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+hit AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1),
+gone AS (SELECT rid, list_distinct(flatten(list(range(i, i + 35)))) AS ps FROM hit GROUP BY rid),
+word AS (SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+dead AS (SELECT rid, unnest(ps) AS p FROM gone),
+kept AS (SELECT word.rid, string_agg(w, ' ' ORDER BY word.p) AS t, count(*) AS n
+    FROM word ANTI JOIN dead ON word.rid = dead.rid AND word.p = dead.p GROUP BY word.rid)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, (len(d.ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.rid = kept.rid"""
+
+ORACLES = {"op1_quality_rules": OP1, "op2_substring_dedup": OP2}
