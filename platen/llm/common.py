@@ -31,13 +31,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.ones(64, dtype=np.uint64)
+_POWERS = np.zeros(0, dtype=np.uint64)
 
 
 def _powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n - 1, _STEP, dtype=np.uint64)]), dtype=np.uint64)
+        _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n + 63, _STEP, dtype=np.uint64)]), dtype=np.uint64)
     return _POWERS
 
 
