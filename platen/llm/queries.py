@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed, quality_rules, simhash, substring
+from . import classifier, embed, packing, pii, quality_rules, simhash, substring
 from .sql import ORACLES  # noqa: F401
 
 
@@ -30,9 +30,31 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer or word_tokenizer())
+
+
+def word_tokenizer() -> str:
+    """Where the public word tokenizer lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash": op5_simhash,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op9_packing": op9_packing,
+    "op10_pii": op10_pii,
 }
