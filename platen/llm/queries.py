@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, embed, packing, pii, quality_rules, simhash, substring
+from . import classifier, embed, html, mixing, packing, pii, quality_rules, simhash, substring
 from .sql import ORACLES  # noqa: F401
 
 
@@ -34,6 +34,15 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("_tokens").alias("tokens"), F.col("_topic").alias("topic"), F.round("_chance", 6).alias("chance"), F.col("_kept").alias("kept"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer or word_tokenizer())
 
@@ -55,6 +64,8 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash": op5_simhash,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_mixing": op7_mixing,
+    "op8_html": op8_html,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
