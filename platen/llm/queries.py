@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, embed, html, mixing, packing, pii, quality_rules, simhash, substring
+from . import chat, classifier, embed, html, mixing, packing, pii, quality_rules, simhash, substring
 from .sql import ORACLES  # noqa: F401
 
 
@@ -30,6 +30,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.parse(chat.raw_transcripts(_table(spark, sf_dir, "conversations")))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -61,6 +65,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_chat_format": op3_chat_format,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash": op5_simhash,
     "op6_embedding_dedup": op6_embedding_dedup,
