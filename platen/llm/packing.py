@@ -12,6 +12,8 @@ counted by partition and summed. The plan is global: no shard packs alone.
 from __future__ import annotations
 
 import binascii
+import sys
+import types
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -25,42 +27,118 @@ from .common import Words, chunks, cut, utf8
 
 CAPACITY = 4096
 END = 1
-#: Distinct words whose ids a task keeps.
-KEPT_WORDS = 1 << 20
+#: Distinct pieces whose ids a worker keeps (about 50 bytes each).
+KEPT_WORDS = 3 << 19
+
+
+class Pieces(Words):
+    """Words cut further where the tokenizer cuts anyway: between ASCII letters and other ASCII.
+
+    Words that hold an apostrophe (contractions) or the start of a special
+    token stay whole. Capitals are lowered in words that are ASCII throughout.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        super().__init__(data, offsets, hashed=False)
+        if len(self.start):
+            high = data >= 128
+            lower = data | 32
+            letter = (lower >= ord("a")) & (lower <= ord("z")) & ~high
+            special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+            foreign, whole = self._with(np.flatnonzero(high)), self._with(special)
+            capital = np.flatnonzero(letter & (data < ord("a")))
+            capital = capital[~(foreign | whole)[self._word(capital)]]
+            self.data = data.copy()
+            self.data[capital] |= 32
+            whole |= self._with(np.flatnonzero(data == ord("'")))
+            solid = data > 32
+            at = np.flatnonzero((letter[1:] != letter[:-1]) & solid[1:] & solid[:-1] & ~high[1:] & ~high[:-1]) + 1
+            word = self._word(at)
+            at = at[~whole[word] & (at > self.start[word])]
+            self.start = np.sort(np.concatenate([self.start, at]))
+            self.end = np.sort(np.concatenate([self.end, at]))
+            self.first = np.searchsorted(self.start, offsets)
+            self.count = np.diff(self.first)
+        self.hash = self._hashes()
+
+    def _word(self, at: np.ndarray) -> np.ndarray:
+        """The word that each byte position lies in."""
+        return np.searchsorted(self.start, at, "right") - 1
+
+    def _with(self, at: np.ndarray) -> np.ndarray:
+        """Which words hold one of these positions."""
+        found = np.zeros(len(self.start), bool)
+        found[self._word(at)] = True
+        return found
 
 
 class WordTokenizer:
-    """Ids by a tokenizer that never joins text across white space, word by word.
+    """Ids by a tokenizer that never joins text across white space, piece by piece.
 
-    Words (between ASCII white space) are looked up by a 64-bit hash of their
-    bytes among those met before; new ones are given to the tokenizer.
+    Pieces are looked up by a 64-bit hash of their bytes among those met
+    before; new ones are given to the tokenizer, many to a call, with a control
+    character between them whose id no other text has.
     """
 
+    BREAK = b"\x01"
+    GROUP = 50
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.between = self.tokenizer.encode(self.BREAK.decode(), add_special_tokens=False).ids
+        assert len(self.between) == 1
         self._clear()
 
+    @staticmethod
+    def kept(path: str) -> WordTokenizer:
+        """The one of this Python worker: what it has learnt serves the worker's later tasks too."""
+        holder = sys.modules.setdefault("_platen_worker", types.ModuleType("_platen_worker"))
+        known = holder.__dict__.setdefault("tokenizers", {})
+        if path not in known:
+            known[path] = WordTokenizer(path)
+        return known[path]
+
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' ids in a row, and how many each has."""
+        odd = [i for i, p in enumerate(pieces) if self.BREAK in p]
+        alone = {i: self.tokenizer.encode(pieces[i].decode("utf-8", "replace"), add_special_tokens=False).ids for i in odd}
+        for i in odd:
+            pieces[i] = b""
+        glue = b" " + self.BREAK + b" "
+        groups = [glue.join(pieces[i : i + self.GROUP]).decode("utf-8", "replace") for i in range(0, len(pieces), self.GROUP)]
+        flat: list[int] = []
+        for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False):
+            flat += e.ids
+            flat += self.between
+        ids = np.array(flat, np.uint32)
+        ends = np.flatnonzero(ids == self.between[0])
+        size = np.diff(ends, prepend=-1) - 1
+        ids = ids[ids != self.between[0]]
+        if alone:
+            parts = np.split(ids, np.cumsum(size)[:-1])
+            for i, found in alone.items():
+                parts[i], size[i] = np.array(found, np.uint32), len(found)
+            ids = np.concatenate(parts)
+        return ids, size
+
     def _learn(self, words: Words, keys: np.ndarray, first: np.ndarray) -> None:
         if len(self.keys) > KEPT_WORDS:
             self._clear()
             keys, first = np.unique(words.hash, return_index=True)
         raw = words.data.tobytes()
-        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
+        ids, size = self._encoded([raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())])
         at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(size.sum()))])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        self.ids = np.concatenate([self.ids, ids])
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All documents' ids, each followed by END, and the documents' lengths."""
@@ -93,12 +171,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
 
         shard = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        encoder = WordTokenizer(tokenizer)
+        encoder = WordTokenizer.kept(tokenizer)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in chunks(offsets):
                 part = offsets[a : b + 1]
-                ids, lengths = encoder.encode(Words(data[part[0] : part[-1]], part - part[0]))
+                ids, lengths = encoder.encode(Pieces(data[part[0] : part[-1]], part - part[0]))
                 n = -(-lengths // capacity)
                 doc = np.repeat(np.arange(b - a), n)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
