@@ -9,13 +9,14 @@ window that also starts anywhere else is removed.
    is never below the count of the window. Partition sketches of anchors are
    merged by saturating addition; what is broadcast is one bit a cell (is the
    count two or more), ``DEPTH * 2**BITS / 8`` bytes whatever the input.
-2. Windows whose cells all say "two or more" are grouped exactly, by a 128-bit
+2. Windows whose cells all say "two or more" are grouped exactly, by a 96-bit
    key of their 35 words. No repeated window can be missed: the sketch only
    overestimates. Where the corpus outgrows the sketch, more windows pass it
    and the second pass groups more; results stay the same.
 
-Within one Arrow batch equal windows are counted before they are shuffled, so
-a passage that a third of all rows share costs a row a batch, not a row a copy.
+Equal windows among some hundred thousand are counted before they are shuffled,
+so a passage that a third of all rows share costs a row a group, not a row a
+copy.
 """
 
 from __future__ import annotations
@@ -25,11 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, rolled, sliding, utf8
+from .common import Words, chunks, lean, rolled, sliding, utf8
 
 WINDOW = 35
 GRAM = 8
@@ -40,7 +40,9 @@ BLOCK = 20
 
 _ROW = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _SPAN = WINDOW - GRAM + 1
-_FLUSH = 4 << 20
+_FLUSH = 1 << 20
+#: Windows estimated repeated that a task groups before it sends them on.
+GROUPED = 1 << 17
 
 
 def _cells(anchors: np.ndarray, row: int) -> np.ndarray:
@@ -121,8 +123,8 @@ def sketch(docs: DataFrame) -> list[np.ndarray]:
 
     At most DEPTH * 2**BITS / 8 bytes (16 MB) come to the driver, for any input.
     """
-    parts = docs.select("text").mapInArrow(_partition_sketch, "row int, block int, ones binary, more binary")
-    merged = parts.repartition("row", "block").mapInArrow(_merge, "row int, block int, bits binary")
+    parts = docs.select("text").mapInArrow(lean(_partition_sketch), "row int, block int, ones binary, more binary")
+    merged = parts.repartition("row", "block").mapInArrow(lean(_merge), "row int, block int, bits binary")
     bits = [np.zeros(1 << (BITS - 3), np.uint8) for _ in range(DEPTH)]
     size = 1 << (BLOCK - 3)
     for r in merged.collect():
@@ -140,69 +142,75 @@ def _suspects(words: Words, bits: list[np.ndarray]) -> np.ndarray:
     return starts
 
 
-_POSTING = "k1 long, k2 long, n int, doc_id long, text_hash long, place int, length int"
+_POSTING = "k1 long, k2 int, n int, doc_id long, text_hash long, place int, length int"
 
 
 def _postings(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """The windows estimated repeated, grouped within each batch.
+    """The windows estimated repeated, grouped some hundred thousand at a time.
 
-    n = 1: the only start of the window in the batch; n = 2: the window starts
-    repeatedly in the batch (no place; sent to tell other batches); n = 0: a
-    run of such starts, certain already.
+    n = 1: the only start of the window in its group; n = 2: the window starts
+    repeatedly there (no place; sent to tell other groups); n = 0: a run of
+    such starts, certain already.
     """
     bits = shared.value
+    held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        doc_id = batch.column("doc_id")
-        text_hash = batch.column("text_hash").to_numpy(zero_copy_only=False)
-        k1, k2, row, place = [], [], [], []
+        doc_id = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        missing = np.asarray(batch.column("doc_id").is_null())
+        doc_id = np.where(missing, 0, doc_id).astype(np.int64)
+        text_hash = batch.column("text_hash").to_numpy()
         for first, words in _texts(batch, "text"):
             starts = _suspects(words, bits)
-            if not len(starts):
-                continue
-            k1.append(rolled(words.hash, WINDOW, 0x2545F4914F6CDD1D)[starts])
-            k2.append(rolled(words.hash, WINDOW, 0x369DEA0F31A53F85)[starts])
-            doc = np.searchsorted(words.first, starts, "right") - 1
-            row.append(doc + first)
-            place.append(starts - words.first[doc])
-        if not k1:
-            continue
-        k1, k2, row, place = map(np.concatenate, (k1, k2, row, place))
-        order = np.lexsort((k2, k1))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
-        heads = np.flatnonzero(fresh)
-        counts = np.diff(np.append(heads, len(order)))
-        head = order[heads]
-        single, several = head[counts == 1], head[counts > 1]
-        sure = np.ones(len(order), bool)
-        sure[single] = False
-        sure = np.flatnonzero(sure)  # in order of row and place
-        edge = np.ones(len(sure), bool)
-        edge[1:] = (row[sure][1:] != row[sure][:-1]) | (place[sure][1:] != place[sure][:-1] + 1)
-        begin = np.flatnonzero(edge)
-        length = np.diff(np.append(begin, len(sure)))
-        begin = sure[begin]
-        at = np.concatenate([single, several, begin])
-        n = np.repeat([1, 2, 0], [len(single), len(several), len(begin)])
-        placed = n != 2
-        mask = ~placed
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(k1[at].view(np.int64)),
-                pa.array(k2[at].view(np.int64)),
-                pa.array(n.astype(np.int32)),
-                pc.if_else(pa.array(placed), doc_id.take(pa.array(row[at])), pa.scalar(None, pa.int64())),
-                pa.array(text_hash[row[at]], mask=mask),
-                pa.array(place[at].astype(np.int32), mask=mask),
-                pa.array(np.concatenate([np.ones(len(single), np.int32), np.zeros(len(several), np.int32), length.astype(np.int32)])),
-            ],
-            names=["k1", "k2", "n", "doc_id", "text_hash", "place", "length"],
-        )
+            if len(starts):
+                k1 = rolled(words.hash, WINDOW, 0x2545F4914F6CDD1D)[starts]
+                k2 = (rolled(words.hash, WINDOW, 0x369DEA0F31A53F85)[starts] >> np.uint64(32)).astype(np.int32)
+                doc = np.searchsorted(words.first, starts, "right") - 1
+                row = doc + first
+                held.append((k1, k2, doc_id[row], missing[row], text_hash[row], starts - words.first[doc]))
+            if sum(len(h[0]) for h in held) >= GROUPED:
+                yield _grouped(held)
+                held = []
+    if held:
+        yield _grouped(held)
+
+
+def _grouped(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    k1, k2, doc_id, missing, text_hash, place = map(np.concatenate, zip(*held))
+    order = np.lexsort((k2, k1))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
+    heads = np.flatnonzero(fresh)
+    counts = np.diff(np.append(heads, len(order)))
+    head = order[heads]
+    single, several = np.sort(head[counts == 1]), head[counts > 1]
+    sure = np.ones(len(order), bool)
+    sure[single] = False
+    sure = np.flatnonzero(sure)  # in order of document and place
+    edge = np.ones(len(sure), bool)
+    edge[1:] = (text_hash[sure][1:] != text_hash[sure][:-1]) | (doc_id[sure][1:] != doc_id[sure][:-1]) | (place[sure][1:] != place[sure][:-1] + 1)
+    begin = np.flatnonzero(edge)
+    length = np.diff(np.append(begin, len(sure)))
+    begin = sure[begin]
+    at = np.concatenate([single, several, begin])
+    n = np.repeat(np.array([1, 2, 0], np.int32), [len(single), len(several), len(begin)])
+    unplaced = n == 2
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(k1[at].view(np.int64)),
+            pa.array(k2[at]),
+            pa.array(n),
+            pa.array(doc_id[at], mask=unplaced | missing[at]),
+            pa.array(text_hash[at], mask=unplaced),
+            pa.array(place[at].astype(np.int32), mask=unplaced),
+            pa.array(np.concatenate([np.ones(len(single), np.int32), np.zeros(len(several), np.int32), length.astype(np.int32)])),
+        ],
+        names=["k1", "k2", "n", "doc_id", "text_hash", "place", "length"],
+    )
 
 
 def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document the counts, and the kept words joined by one space."""
-    for batch in batches:
+    for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
         texts = batch.column("text")
         n_words, n_removed, kept = [], [], []
         for i, (text, runs) in enumerate(zip(texts, batch.column("runs"))):
@@ -238,7 +246,7 @@ def repeated_windows(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows (doc_id, text_hash, place, length): runs of starts of repeated windows, by word position."""
     keyed = _keyed(docs, text)
     bits = docs.sparkSession.sparkContext.broadcast(sketch(keyed))
-    rows = keyed.mapInArrow(lambda it: _postings(it, bits), _POSTING)
+    rows = keyed.mapInArrow(lean(lambda it: _postings(it, bits)), _POSTING)
     # n = 0 needs no partner: its rows are dealt out by document.
     key1 = F.when(F.col("n") == 0, F.xxhash64("doc_id", "text_hash", "place")).otherwise(F.col("k1"))
     key2 = F.when(F.col("n") > 0, F.col("k2"))
@@ -255,6 +263,8 @@ def _with_runs(docs: DataFrame, text: str) -> DataFrame:
     """Each row with its own runs. Rows of equal doc_id and text share them, as they should."""
     runs = repeated_windows(docs, text).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "length")).alias("runs"))
     runs = runs.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "runs")
+    # The runs are far smaller than the texts: hashing them spares the texts a sort.
+    runs = runs.hint("SHUFFLE_HASH")
     keyed = _keyed(docs, text)
     return keyed.join(runs, keyed["doc_id"].eqNullSafe(runs["_d"]) & (keyed["text_hash"] == runs["_h"]), "left").select("doc_id", "text", "runs")
 
@@ -266,9 +276,9 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     rows without a doc_id, are judged like any others. Only doc_id and the
     text are read, so further columns cannot clash. An empty table gives none.
     """
-    return _with_runs(docs, text).mapInArrow(_removal, "doc_id long, n_words long, n_removed long, kept_text string")
+    return _with_runs(docs, text).mapInArrow(lean(_removal), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def dedup_digests(docs: DataFrame, text: str = "text") -> DataFrame:
     """As dedup(), with the SHA-256 of the kept text's UTF-8 instead of the text."""
-    return _with_runs(docs, text).mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_runs(docs, text).mapInArrow(lean(_digests), "doc_id long, n_words long, n_removed long, kept_sha256 string")
