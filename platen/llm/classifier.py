@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix, rolled, utf8
+from .common import Words, chunks, lean, mix, rolled, utf8
 
 BITS = 18
 SAMPLE = 6000
@@ -157,7 +157,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
                     names=["doc_id", "label", "columns", "values"],
                 )
 
-    made = joined.mapInArrow(run, "doc_id long, label int, columns binary, values binary")
+    made = joined.mapInArrow(lean(run), "doc_id long, label int, columns binary, values binary")
     got = made.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "columns", "values").limit(sample).collect()
     return [(np.frombuffer(r["columns"], np.int32), np.frombuffer(r["values"], np.float32), r["label"]) for r in got]
 
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 found.append(Model(*shared.value).scores(Words(data[part[0] : part[-1]], part - part[0])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(found))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

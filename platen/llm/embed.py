@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, cut
+from .common import Forest, components, cut, lean
 
 THRESHOLD = 0.95
 TABLES = 6
@@ -112,7 +112,7 @@ def _hashed(classes: DataFrame, tables: int, turns: int, probes: int) -> DataFra
                     names=["class", "n", "dim", "vector", "codes", "buckets"],
                 )
 
-    return classes.mapInArrow(run, "class long, n long, dim int, vector binary, codes binary, buckets array<int>")
+    return classes.mapInArrow(lean(run), "class long, n long, dim int, vector binary, codes binary, buckets array<int>")
 
 
 def _compare(threshold: float, tables: int, probes: int, dtype: str):
@@ -225,7 +225,7 @@ def near_duplicates(
         .withColumn("key", F.xxhash64("table", "dim", "bucket", "x", "y"))
         .select("key", "table", "class", "n", "own", "block", "x", "y", "vector", "codes")
     )
-    found = cut(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(threshold, tables, probes, dtype), "kind long, a long, b long"))
+    found = cut(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_compare(threshold, tables, probes, dtype)), "kind long, a long, b long"))
     links = found.where("kind = 0").groupBy(F.col("a").alias("class")).agg(F.sum("b").alias("links"))
     root = components(found.where("kind = 1").select("a", "b"))
     known = classes.join(links, "class", "left").join(root.select(F.col("node").alias("class"), "root"), "class", "left")

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 _TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
     r"|<[!?][^>]*(?:>|\Z)"
@@ -359,4 +361,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
                 )
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return own.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

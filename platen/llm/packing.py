@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut, utf8
+from .common import Words, chunks, cut, lean, utf8
 
 CAPACITY = 4096
 END = 1
@@ -205,7 +205,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _PIECE + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), _PIECE + ", ids array<int>" * with_ids)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -337,7 +337,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str =
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return ranked.mapInArrow(seat, schema)
+    return ranked.mapInArrow(lean(seat), schema)
 
 
 def texts_of(packed: DataFrame) -> DataFrame:

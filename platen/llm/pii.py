@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import lean, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -431,7 +431,7 @@ def find(docs: DataFrame, text: str = "text", model: Tagger | None = None) -> Da
             )
 
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_spans string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), schema)
 
 
 def digests(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -469,4 +469,4 @@ def redact(docs: DataFrame, text: str = "text", model: Tagger | None = None) ->
             columns[place] = old
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, components, cut, utf8
+from .common import Forest, components, cut, lean, utf8
 
 SEED = 42
 RADIUS = 4
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame
                 found.append(_fingerprints([raw[a:b].lower().split() for a, b in zip(part, part[1:])], shingle))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, fingerprint long")
 
 
 class BKTree:
@@ -215,7 +215,7 @@ def links(distinct: DataFrame, radius: int, hot_shard: int = HOT_SHARD) -> DataF
         if held:
             yield from linked(held)
 
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(lean(run), "a long, b long")
 
 
 def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
