@@ -39,7 +39,7 @@ def name_key(c: Column) -> Column:
 
 def last_part(c: Column) -> Column:
     """The last part of a path that is not empty."""
-    return F.element_at(F.filter(F.split(c, "/"), lambda x: x != ""), -1)
+    return F.try_element_at(F.filter(F.split(c, "/"), lambda x: x != ""), F.lit(-1))
 
 
 def slashed(c: Column) -> Column:
