@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for t in texts:
         yield t.map(lambda s: s if s is None else unicodedata.normalize("NFC", s))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def content_hash(json: str = "json") -> Column:
@@ -89,6 +88,6 @@ def validated(states: DataFrame, ranges: dict[str, tuple[float, float]], newest:
     return states.withColumn("faults", F.array_compact(F.array(*checks)))
 
 
-def parsed(edits: DataFrame, schema: T.StructType, json: str = "json") -> DataFrame:
+def parsed(edits: DataFrame, schema: str, json: str = "json") -> DataFrame:
     """Edit documents as structs; text that is no document fails the query."""
     return edits.withColumn("state", F.from_json(json, schema, {"mode": "FAILFAST"}))

@@ -147,7 +147,7 @@ def path_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), N.path_key(text, "exact").alias("exact"), N.path_key(text, "ascii").alias("folded"), N.path_key(apart, "nfc").alias("normal"))
 
 
-@query("path_parts", sql(" SELECT id, list_filter(string_split(relative_path, '/'), lambda x: x <> '')[-1] AS last, CASE WHEN starts_with(relative_path, 'nation_1/') THEN substr(relative_path, 10) ELSE '-' END AS below FROM folders"))
+@query("path_parts", sql(" SELECT id, list_filter(string_split(relative_path, '/'), lambda x: x <> '')[-1] AS last, CASE WHEN relative_path = 'nation_1' THEN '' WHEN starts_with(relative_path, 'nation_1/') THEN substr(relative_path, 10) ELSE '-' END AS below FROM folders"))
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = Library(spark, sf_dir).folders
     return f.select("id", N.last_part(F.col("relative_path")).alias("last"), F.coalesce(N.relative_to(F.col("relative_path"), F.lit("nation_1")), F.lit("-")).alias("below"))

@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import types as T
 
 SCHEMA_VERSION = 6
 EDIT_SCHEMA_VERSION = 1
 
 
-def _t(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+#: Specifications of the tables; table() gives the struct types, which need a session.
+TABLES: dict[str, str] = {
+    "volumes": "id BIGINT, kind STRING, uuid STRING, windows_serial BIGINT, host STRING, share STRING, mount_path STRING, label STRING, last_mount_path STRING, path_convention STRING",
+    "folders": "id BIGINT, volume_id BIGINT, parent_id BIGINT, relative_path STRING, path_key STRING",
+    "files": "id BIGINT, folder_id BIGINT, filename STRING, filename_key STRING, size BIGINT, mtime BIGINT, content_hash STRING, captured_at BIGINT, "
+        "camera_make STRING, camera_model STRING, camera_serial STRING, shutter_count BIGINT, lens STRING, missing BOOLEAN, imported_at BIGINT",
+    "images": "id BIGINT, file_id BIGINT, is_virtual_copy BOOLEAN, copy_name STRING, rating TINYINT, flag STRING, colour_label STRING, created_at BIGINT",
+    "edit_states": "id BIGINT, image_id BIGINT, version INT, json STRING, edit_state_hash STRING, source STRING, created_at BIGINT",
+    "previews": "id BIGINT, image_id BIGINT, level STRING, path STRING, edit_state_hash STRING, width INT, height INT, bytes BIGINT, created_at BIGINT, renderer STRING",
+    "camera_profiles": "camera_make STRING, camera_model STRING, path STRING, name STRING, chosen_at BIGINT",
+    "presets": "name STRING, json STRING, groups ARRAY<STRING>, created_at BIGINT",
+    "snapshots": "image_id BIGINT, version INT, name STRING, created_at BIGINT",
+    "collections": "id BIGINT, parent_id BIGINT, name STRING, name_key STRING, is_quick BOOLEAN, is_target BOOLEAN, created_at BIGINT",
+    "collection_images": "collection_id BIGINT, image_id BIGINT, position BIGINT",
+}
 
 
-TABLES: dict[str, T.StructType] = {
-    "volumes": _t(
-        "id BIGINT, kind STRING, uuid STRING, windows_serial BIGINT, host STRING, share STRING, mount_path STRING, label STRING, last_mount_path STRING, path_convention STRING"
-    ),
-    "folders": _t("id BIGINT, volume_id BIGINT, parent_id BIGINT, relative_path STRING, path_key STRING"),
-    "files": _t(
-        "id BIGINT, folder_id BIGINT, filename STRING, filename_key STRING, size BIGINT, mtime BIGINT, content_hash STRING, captured_at BIGINT, "
-        "camera_make STRING, camera_model STRING, camera_serial STRING, shutter_count BIGINT, lens STRING, missing BOOLEAN, imported_at BIGINT"
-    ),
-    "images": _t("id BIGINT, file_id BIGINT, is_virtual_copy BOOLEAN, copy_name STRING, rating TINYINT, flag STRING, colour_label STRING, created_at BIGINT"),
-    "edit_states": _t("id BIGINT, image_id BIGINT, version INT, json STRING, edit_state_hash STRING, source STRING, created_at BIGINT"),
-    "previews": _t(
-        "id BIGINT, image_id BIGINT, level STRING, path STRING, edit_state_hash STRING, width INT, height INT, bytes BIGINT, created_at BIGINT, renderer STRING"
-    ),
-    "camera_profiles": _t("camera_make STRING, camera_model STRING, path STRING, name STRING, chosen_at BIGINT"),
-    "presets": _t("name STRING, json STRING, groups ARRAY<STRING>, created_at BIGINT"),
-    "snapshots": _t("image_id BIGINT, version INT, name STRING, created_at BIGINT"),
-    "collections": _t("id BIGINT, parent_id BIGINT, name STRING, name_key STRING, is_quick BOOLEAN, is_target BOOLEAN, created_at BIGINT"),
-    "collection_images": _t("collection_id BIGINT, image_id BIGINT, position BIGINT"),
-}
+
+@cache
+def table(name: str) -> T.StructType:
+    return T.StructType.fromDDL(TABLES[name])
+
 
 #: Primary keys, and (columns, table referred to) of foreign keys.
 PRIMARY = {
@@ -58,7 +58,8 @@ UNIQUE = {
 
 _SHAPE = "kind: STRING, from: ARRAY<FLOAT>, to: ARRAY<FLOAT>, centre: ARRAY<FLOAT>, radii: ARRAY<FLOAT>, angle_deg: FLOAT, feather: FLOAT, strokes: ARRAY<STRUCT<points: ARRAY<ARRAY<FLOAT>>, radius: FLOAT, feather: FLOAT, erase: BOOLEAN>>, low: FLOAT, high: FLOAT, hue: FLOAT, width: FLOAT"
 _HSL = "STRUCT<hue: FLOAT, saturation: FLOAT, luminance: FLOAT>"
-EDIT = _t(
+#: The edit document; from_json() takes it as it is.
+EDIT = (
     "schema_version INT, white_balance STRUCT<temperature_k: FLOAT, tint: FLOAT>, "
     "tone STRUCT<exposure_ev: FLOAT, contrast: FLOAT, highlights: FLOAT, shadows: FLOAT, whites: FLOAT, blacks: FLOAT, clarity: FLOAT, texture: FLOAT, dehaze: FLOAT, hue_preservation: FLOAT>, "
     "orientation STRING, crop STRUCT<left: FLOAT, top: FLOAT, right: FLOAT, bottom: FLOAT, angle_deg: FLOAT, vertical: FLOAT, horizontal: FLOAT, aspect: FLOAT>, "
