@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("queries_library", "queries_raster", "queries_flow")
+MODULES: tuple[str, ...] = ("queries_library", "queries_raster", "queries_flow", "queries_tiles")
 
 
 def _merged(name: str) -> dict:
