@@ -167,6 +167,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many partitions as so many (narrow) rows are worth, without a shuffle."""
+    return df.coalesce(max(8, -(-rows // 200_000)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a long, b long): rows (node, root).
 
@@ -180,29 +185,29 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     steps: list[DataFrame] = []
-    while not edges.isEmpty():
+    most = left = edges.count()
+    while left:
         salt = len(steps)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        move = cut(
-            both.groupBy("a")
-            .agg(F.min(rank("b", salt)).alias("m"))
-            .select(F.col("a").alias("node"), F.least(F.col("m"), rank("a", salt)).getField("v").alias("to"))
-        )
+        moved = both.groupBy("a").agg(F.min(rank("b", salt)).alias("m"))
+        move = cut(few(moved.select(F.col("a").alias("node"), F.least(F.col("m"), rank("a", salt)).getField("v").alias("to")), 2 * left))
         steps.append(move)
-        edges = cut(
+        renamed = (
             edges.join(move.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
             .join(move.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
             .where("x <> y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
+        edges = cut(few(renamed, left))
+        left = edges.count()
     spark = edges.sparkSession
     if not steps:
         return spark.createDataFrame([], "node long, root long")
     out = steps[0].select("node", F.col("to").alias("root"))
     for move in steps[1:]:
         out = out.join(move.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return cut(out)
+    return cut(few(out, 2 * most))
 
 
 class Forest:

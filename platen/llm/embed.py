@@ -207,7 +207,7 @@ def near_duplicates(
     valid = rows.where("embedding IS NOT NULL")
     classes = valid.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     # Classes go by a 64-bit hash of their vector: ids may repeat or be null.
-    classes = cut(classes.select(F.xxhash64("embedding", F.lit(1)).alias("class"), "least", "n", "embedding"))
+    classes = cut(classes.select(F.xxhash64("embedding", F.lit(1)).alias("class"), "least", "n", "embedding").coalesce(max(8, -(-rows.count() // 20_000))))
     size = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
     turns = turns_for(size[0], size[1] or 2)
     hashed = cut(_hashed(classes.select("class", "n", "embedding"), tables, turns, probes))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, components, cut, lean, utf8
+from .common import Forest, components, cut, few, lean, utf8
 
 SEED = 42
 RADIUS = 4
@@ -176,7 +176,8 @@ def links(distinct: DataFrame, radius: int, hot_shard: int = HOT_SHARD) -> DataF
     ways = plan(n, radius)
     shards = distinct.select("fp", _dealt(ways).alias("s")).select("fp", "s.way", "s.value")
     sizes = shards.groupBy("way", "value").count()
-    hot = cut(sizes.where(F.col("count") > hot_shard).select("way", "value", F.lit(True).alias("hot")))
+    hot = sizes.where(F.col("count") > hot_shard).select("way", "value", F.lit(True).alias("hot"))
+    hot = cut(few(hot, n * len(ways) // hot_shard))
     if not hot.isEmpty():
         # Inside a hot shard some of radius + 1 blocks of the other bits agrees as well.
         marked = shards.join(hot, ["way", "value"], "left")
@@ -220,7 +221,7 @@ def links(distinct: DataFrame, radius: int, hot_shard: int = HOT_SHARD) -> DataF
 
 def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows (fingerprint, component_id): the least doc_id reachable from each fingerprint."""
-    distinct = cut(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")))
+    distinct = cut(few(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")), prints.count()))
     root = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -250,7 +251,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, text: str
     t = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(t).alias("_hash"))
     # The operator reads an id and a text; here the id of a row is itself and its text's hash.
-    prints = cut(fingerprints(docs.select(F.xxhash64(t).alias("doc_id"), t.alias("text")), shingle).distinct())
+    prints = fingerprints(docs.select(F.xxhash64(t).alias("doc_id"), t.alias("text")), shingle)
+    prints = cut(prints)
+    prints = prints.distinct()
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(t).alias("_hash")).join(prints.select(F.col("doc_id").alias("_hash"), "fingerprint"), "_hash")
     grouped = groups(prints, radius).select("fingerprint", F.col("component_id").alias("group"))
     stays = named.join(grouped, "fingerprint").groupBy("group").agg(F.min(F.struct("doc_id", "_hash")).alias("m")).select(F.col("m.doc_id").alias("_i"), F.col("m._hash").alias("_h"))
