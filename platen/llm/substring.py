@@ -142,15 +142,15 @@ def _suspects(words: Words, bits: list[np.ndarray]) -> np.ndarray:
     return starts
 
 
-_POSTING = "k1 long, k2 int, n int, doc_id long, text_hash long, place int, length int"
+_POSTING = "k1 long, k2 int, doc_id long, text_hash long, place int, length int"
 
 
 def _postings(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """The windows estimated repeated, grouped some hundred thousand at a time.
 
-    n = 1: the only start of the window in its group; n = 2: the window starts
-    repeatedly there (no place; sent to tell other groups); n = 0: a run of
-    such starts, certain already.
+    length 0: the only start of the window in its group; no place: the window
+    starts repeatedly there (sent to tell other groups); else a run of such
+    starts, certain already.
     """
     bits = shared.value
     held: list[tuple[np.ndarray, ...]] = []
@@ -192,19 +192,17 @@ def _grouped(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     length = np.diff(np.append(begin, len(sure)))
     begin = sure[begin]
     at = np.concatenate([single, several, begin])
-    n = np.repeat(np.array([1, 2, 0], np.int32), [len(single), len(several), len(begin)])
-    unplaced = n == 2
+    unplaced = np.repeat([False, True, False], [len(single), len(several), len(begin)])
     return pa.RecordBatch.from_arrays(
         [
             pa.array(k1[at].view(np.int64)),
             pa.array(k2[at]),
-            pa.array(n),
             pa.array(doc_id[at], mask=unplaced | missing[at]),
             pa.array(text_hash[at], mask=unplaced),
             pa.array(place[at].astype(np.int32), mask=unplaced),
-            pa.array(np.concatenate([np.ones(len(single), np.int32), np.zeros(len(several), np.int32), length.astype(np.int32)])),
+            pa.array(np.concatenate([np.zeros(len(single) + len(several), np.int32), length.astype(np.int32)])),
         ],
-        names=["k1", "k2", "n", "doc_id", "text_hash", "place", "length"],
+        names=["k1", "k2", "doc_id", "text_hash", "place", "length"],
     )
 
 
@@ -217,7 +215,8 @@ def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = (text.as_py() or "").encode().split()
             n_words.append(len(words))
             if runs.is_valid and len(runs.values):
-                at, size = (runs.values.field(f).to_numpy() for f in ("place", "length"))
+                packed = runs.values.to_numpy()
+                at, size = packed >> 32, packed & 0xFFFFFFFF
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, at, 1)
                 np.add.at(edge, np.minimum(at + size + WINDOW - 1, len(words)), -1)
@@ -247,21 +246,21 @@ def repeated_windows(docs: DataFrame, text: str = "text") -> DataFrame:
     keyed = _keyed(docs, text)
     bits = docs.sparkSession.sparkContext.broadcast(sketch(keyed))
     rows = keyed.mapInArrow(lean(lambda it: _postings(it, bits)), _POSTING)
-    # n = 0 needs no partner: its rows are dealt out by document.
-    key1 = F.when(F.col("n") == 0, F.xxhash64("doc_id", "text_hash", "place")).otherwise(F.col("k1"))
-    key2 = F.when(F.col("n") > 0, F.col("k2"))
-    total = F.sum("n").over(Window.partitionBy("k1", "k2"))
-    return (
-        rows.withColumns({"k1": key1, "k2": key2})
-        .withColumn("total", total)
-        .where("(n = 0) OR (n = 1 AND total > 1)")
-        .select("doc_id", "text_hash", "place", "length")
-    )
+    # A run needs no partner: runs are dealt out by document.
+    run = F.col("length") > 0
+    key1 = F.when(run, F.xxhash64("doc_id", "text_hash", "place")).otherwise(F.col("k1"))
+    key2 = F.when(~run, F.col("k2"))
+    starts = F.when(run, 0).when(F.col("place").isNull(), 2).otherwise(1)
+    keyed = rows.withColumns({"k1": key1, "k2": key2})
+    total = F.sum(starts).over(Window.partitionBy("k1", "k2"))
+    found = keyed.withColumn("total", total).where(run | (F.col("place").isNotNull() & (F.col("total") > 1)))
+    return found.select("doc_id", "text_hash", "place", F.greatest("length", F.lit(1)).alias("length"))
 
 
 def _with_runs(docs: DataFrame, text: str) -> DataFrame:
     """Each row with its own runs. Rows of equal doc_id and text share them, as they should."""
-    runs = repeated_windows(docs, text).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "length")).alias("runs"))
+    packed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("length").cast("long"))
+    runs = repeated_windows(docs, text).groupBy("doc_id", "text_hash").agg(F.collect_list(packed).alias("runs"))
     runs = runs.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "runs")
     # The runs are far smaller than the texts: hashing them spares the texts a sort.
     runs = runs.hint("SHUFFLE_HASH")
