@@ -369,6 +369,8 @@ def tagged(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
                 start = a + s + piece.find(trimmed)
                 if trimmed and _plausible(kind, trimmed):
                     out[i].append((start, kind, start + len(trimmed)))
+                elif kind == 2:  # several numbers in a row: each unbroken one by itself
+                    out[i] += [(start + m.start(), 2, start + m.end()) for m in re.finditer(r"[0-9]+", trimmed) if _plausible(2, m[0])]
     return out
 
 
