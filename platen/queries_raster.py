@@ -125,7 +125,20 @@ def pyramid_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_tiles(spark, sf_dir), R.downsampled(F.col("t"), 8, 8))
 
 
-@query("pyramid_laplacian")
+def _up(x: int, y: int) -> str:
+    """A zero-filled sample of the coarse level, clamped to the fine one's edges."""
+    px, py = f"least(greatest(x + ({x}), 0), 7)", f"least(greatest(y + ({y}), 0), 7)"
+    return f"CASE WHEN {px} % 2 = 0 AND {py} % 2 = 0 THEN c[{py} // 2 * 4 + {px} // 2 + 1] ELSE 0.0::DOUBLE END"
+
+
+_UP = " + ".join(f"{_up(a - 2, b - 2)} * {4 * wx * wy!r}::DOUBLE" for b, wy in enumerate(R.FIVE) for a, wx in enumerate(R.FIVE))
+
+
+@query(
+    "pyramid_laplacian",
+    f"""WITH {_TILE}, o AS (SELECT vec_id, t, unnest(range(0, 16)) AS i FROM tiles), q AS (SELECT *, i % 4 AS ox, i // 4 AS oy FROM o),
+d AS (SELECT vec_id, list({_DOWN} ORDER BY i) AS c FROM q GROUP BY vec_id) SELECT xy.vec_id, i::INTEGER AS i, round(t[i + 1] - ({_UP}), 6) + 0.0 AS v FROM xy JOIN d ON xy.vec_id = d.vec_id""",
+)
 def pyramid_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _tiles(spark, sf_dir).withColumn("c", R.downsampled(F.col("t"), 8, 8))
     return _shown(d, R.laplacian(F.col("t"), F.col("c"), 8, 8))
@@ -153,7 +166,14 @@ def lanczos_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.lanczos_taps(spark, 40, 16).withColumn("weight", F.round("weight", 6) + 0.0)
 
 
-@query("lanczos_rows")
+@query(
+    "lanczos_rows",
+    f"""WITH {_TILE}, c AS (SELECT target, (target + 0.5::DOUBLE) * 2 - 0.5::DOUBLE AS c FROM (SELECT unnest(range(0, 4)) AS target)),
+a AS (SELECT target, c, unnest(range(floor(c)::BIGINT - 6, floor(c)::BIGINT + 8)) AS tap FROM c), z AS (SELECT *, (tap - c) / 2 * pi() AS z FROM a),
+w AS (SELECT target, least(greatest(tap, 0), 7) AS source, CASE WHEN abs(z) < 1e-9 THEN 1.0::DOUBLE WHEN abs(z) < 3 * pi() THEN sin(z) / z * sin(z / 3) / (z / 3) ELSE 0.0::DOUBLE END AS w FROM z),
+s AS (SELECT target, source, sum(w) AS w FROM w WHERE w <> 0 GROUP BY ALL), p AS (SELECT target, source, w / sum(w) OVER (PARTITION BY target) AS weight FROM s)
+SELECT vec_id, y::INTEGER AS y, target::INTEGER AS x, round(sum(t[i + 1] * weight), 6) + 0.0 AS v FROM xy JOIN p ON x = source GROUP BY vec_id, y, target""",
+)
 def lanczos_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = _tiles(spark, sf_dir).select("vec_id", F.posexplode("t").alias("i", "v")).select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), "v")
     return R.resampled(px, R.lanczos_taps(spark, 8, 4), ["vec_id", "y"], "x", "v").withColumn("v", F.round("v", 6) + 0.0)
