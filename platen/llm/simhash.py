@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import Forest, components, cut, few, lean, utf8
 
 SEED = 42
@@ -240,23 +241,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, tex
     return prints.join(groups(prints, radius), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = minhash.SIMILARITY, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that remain when one of each group of near duplicates stays.
 
-    It is the one of least doc_id (null before all), then of least text hash;
-    of rows equal in both, one by order of source and language if there are
-    such columns. Columns of ``docs`` stay as they are.
+    Texts whose sets of shingles have at least this Jaccard similarity are
+    linked, however many bits of their fingerprints differ, and components of
+    links are groups. What stays is the row of least doc_id (null before all),
+    then of least text hash; of rows equal in both, one by order of source and
+    language if there are such columns. Columns of ``docs`` stay as they are.
     """
     own = docs.columns
     t = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(t).alias("_hash"))
-    # The operator reads an id and a text; here the id of a row is itself and its text's hash.
-    prints = fingerprints(docs.select(F.xxhash64(t).alias("doc_id"), t.alias("text")), shingle)
-    prints = cut(prints)
-    prints = prints.distinct()
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(t).alias("_hash")).join(prints.select(F.col("doc_id").alias("_hash"), "fingerprint"), "_hash")
-    grouped = groups(prints, radius).select("fingerprint", F.col("component_id").alias("group"))
-    stays = named.join(grouped, "fingerprint").groupBy("group").agg(F.min(F.struct("doc_id", "_hash")).alias("m")).select(F.col("m.doc_id").alias("_i"), F.col("m._hash").alias("_h"))
+    # The id of a text is its hash.
+    grouped = minhash.groups(docs.select(F.xxhash64(t).alias("id"), t.alias("text")), shingle, similarity)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(t).alias("_hash")).join(grouped.withColumnRenamed("node", "_hash"), "_hash", "left")
+    stays = named.groupBy(F.coalesce("root", "_hash").alias("group")).agg(F.min(F.struct("doc_id", "_hash")).alias("m")).select(F.col("m.doc_id").alias("_i"), F.col("m._hash").alias("_h"))
     kept = keyed.join(stays, keyed["_id"].eqNullSafe(stays["_i"]) & (keyed["_hash"] == stays["_h"]), "left_semi")
     order = [F.col(f"_row.`{c}`") for c in ("source", "lang") if c in own] or [F.lit(0)]
     first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(*order))
