@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-#: One random 64-bit value per byte; white space adds nothing to a word's hash.
-_BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[_SPACE] = 0
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word that are hashed eight at a time, all words together; longer words go one by one.
+LANES = 8
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 #: Bytes of text handled at once, so that the 8-byte arrays beside them stay small.
 CHUNK_BYTES = 1 << 20
@@ -31,14 +32,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.zeros(0, dtype=np.uint64)
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the words data[start:end].
 
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n + 63, _STEP, dtype=np.uint64)]), dtype=np.uint64)
-    return _POWERS
+    Eight bytes at a time are mixed into a state that starts from the word's
+    length, so no linear pattern of bytes cancels out, and words of one length
+    up to eight bytes never share a hash.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) * _LEFT + np.uint64(2 * seed + 1))
+    if not len(out):
+        return out
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    some = slice(None)
+    for lane in range(LANES):
+        at, left = start[some] + 8 * lane, size[some] - 8 * lane
+        value = np.ascontiguousarray(eight[at]).view(np.uint64)[:, 0] & _MASK[np.minimum(left, 8)]
+        out[some] = mix(out[some] ^ value)
+        some = np.flatnonzero(size > 8 * lane + 8)
+        if not len(some):
+            return out
+    for i in some.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed)
+    return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,16 +100,11 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         if hashed:
-            self.hash = self._hashes()
+            self.hash = self.hashes()
 
-    def _hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        gap = np.diff(np.append(self.start, len(self.data)))
-        place = np.arange(self.start[0], len(self.data)) - np.repeat(self.start, gap)
-        place[place >= np.repeat(self.end - self.start, gap)] = 0  # white space: its value is 0 anyway
-        values = _BYTE[self.data[self.start[0] :]] * _powers(int((self.end - self.start).max()))[place]
-        return mix(np.add.reduceat(values, self.start - self.start[0]) + (self.end - self.start).astype(np.uint64))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """The words' hashes; each seed gives others."""
+        return word_hashes(self.data, self.start, self.end, seed)
 
     def doc(self) -> np.ndarray:
         """Each word's document."""
@@ -105,23 +116,33 @@ class Words:
         return np.flatnonzero(left >= length)
 
 
-def rolled(words: np.ndarray, length: int, base: int) -> np.ndarray:
-    """Keys of all runs of ``length`` hashes: a polynomial modulo 2^64, by doubling."""
-    base, power = np.uint64(base | 1), np.uint64(base | 1)
-    out, done, block, size = None, 0, words, 1
-    shift = np.uint64(1)
-    with np.errstate(over="ignore"):
-        while length:
-            if length & 1:
-                part = block[done:] * shift
-                out = part if out is None else out[: len(part)] + part
-                done += size
-                shift = shift * power
-            length >>= 1
-            if length:
-                block = block[:-size] + block[size:] * power if len(block) > size else block[:0]
-                size, power = size * 2, power * power
-    return mix(out)
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of each a[i] followed by b[i]; the longer of the two is cut."""
+    n = min(len(a), len(b))
+    x = a[:n] * _LEFT ^ b[:n]
+    x ^= x >> np.uint64(32)
+    x *= _RIGHT
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def rolled(words: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """Keys of all runs of ``length`` hashes: halves are mixed into wholes, by doubling.
+
+    Every step mixes, so runs of few and regular words cancel no better than others.
+    """
+    if len(words) < length:
+        return words[:0]
+    whole, out, done, block, size = len(words) - length + 1, None, 0, words ^ mix(np.array([seed], np.uint64)), 1
+    while length:
+        if length & 1:
+            out = block[done:] if out is None else _pair(out, block[done:])
+            done += size
+        length >>= 1
+        if length:
+            block = _pair(block, block[size:])
+            size *= 2
+    return mix(out[:whole])
 
 
 def sliding(values: np.ndarray, length: int, fold) -> np.ndarray:

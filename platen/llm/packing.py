@@ -40,6 +40,7 @@ class Pieces(Words):
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         super().__init__(data, offsets, hashed=False)
+        self.offsets = offsets
         if len(self.start):
             high = data >= 128
             lower = data | 32
@@ -59,7 +60,7 @@ class Pieces(Words):
             self.end = np.sort(np.concatenate([self.end, at]))
             self.first = np.searchsorted(self.start, offsets)
             self.count = np.diff(self.first)
-        self.hash = self._hashes()
+        self.hash = self.hashes()
 
     def _word(self, at: np.ndarray) -> np.ndarray:
         """The word that each byte position lies in."""
@@ -76,8 +77,10 @@ class WordTokenizer:
     """Ids by a tokenizer that never joins text across white space, piece by piece.
 
     Pieces are looked up by a 64-bit hash of their bytes among those met
-    before; new ones are given to the tokenizer, many to a call, with a control
-    character between them whose id no other text has.
+    before, and their bytes are compared with what was met; new ones are given
+    to the tokenizer, many to a call, with a control character between them
+    whose id no other text has. Should a piece not be the one met, the
+    tokenizer reads the whole documents.
     """
 
     BREAK = b"\x01"
@@ -105,6 +108,9 @@ class WordTokenizer:
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.raw = np.zeros(0, np.uint8)
+        self.begin = np.zeros(0, np.int64)
+        self.width = np.zeros(0, np.int64)
 
     def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The pieces' ids in a row, and how many each has."""
@@ -137,8 +143,26 @@ class WordTokenizer:
         ids, size = self._encoded([raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())])
         at = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, ids])
+        width = words.end[first] - words.start[first]
+        begin = len(self.raw) + np.cumsum(width) - width
+        self.raw = np.concatenate([self.raw, words.data[_places(words.start[first], width)]])
         place = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
+        for name, new in (("keys", keys), ("at", at), ("size", size), ("begin", begin), ("width", width)):
+            setattr(self, name, np.insert(getattr(self, name), place, new))
+
+    def _met(self, words: Words, place: np.ndarray) -> bool:
+        """Whether every word's bytes are those of the piece at its place."""
+        width = words.end - words.start
+        if (self.width[place] != width).any():
+            return False
+        return bool((self.raw[_places(self.begin[place], width)] == words.data[_places(words.start, width)]).all())
+
+    def _whole(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The documents' ids by the tokenizer alone."""
+        raw = words.data.tobytes()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist())]
+        found = [np.array([*e.ids, END], np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All documents' ids, each followed by END, and the documents' lengths."""
@@ -150,7 +174,10 @@ class WordTokenizer:
         if not known.all():
             self._learn(words, keys[~known], first[~known])
             place = np.searchsorted(self.keys, keys)
-        at, size = self.at[place][back], self.size[place][back]
+        place = place[back]
+        if not self._met(words, place):
+            return self._whole(words)
+        at, size = self.at[place], self.size[place]
         total = np.concatenate([[0], np.cumsum(size)])
         lengths = total[words.first[1:]] - total[words.first[:-1]] + 1
         ends = np.cumsum(lengths)
@@ -160,6 +187,12 @@ class WordTokenizer:
         return out, lengths
 
 
+def _places(start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1 ... of each run of ``width``, one run after another."""
+    total = np.cumsum(width)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - width), width)
+
+
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, shard long, rank long"
 
 
