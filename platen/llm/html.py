@@ -1,16 +1,19 @@
 """HTML extraction by minimum cut.
 
-A page is read into blocks of text with their place in the document tree. A
-linear classifier over a block's containers, length and links gives the cost
-of calling it content or boilerplate; these costs are the capacities to the
-two terminals. Neighbouring blocks, and blocks of one parent, are joined by
-smoothness edges. The maximum flow separates content from boilerplate.
+A page is read into blocks of text with their place in the document tree. Two
+logistic regressions (``html_model``) give costs: a block's from its own text,
+links and element, a part's (any container: body, article, nav, div ...) from
+its tag, names, contents and place. Blocks and parts are the nodes of a graph,
+their costs the capacities to the two terminals. A block is joined to its part,
+a part to the one around it and neighbouring blocks to each other by smoothness
+edges. The maximum flow separates content from boilerplate: a short line in an
+article stays for its article's sake, a long comment goes with its section.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -30,46 +33,44 @@ _TAG = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
+_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 #: Elements by their standing in HTML.
-_RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math object select button".split())
-_SKIPPED = frozenset("head".split())
+_RAW = frozenset("script style textarea title iframe template xmp noembed noframes svg select button".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav noscript ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 _CLOSES_P = _BLOCK - frozenset("td th tr tbody thead tfoot caption option html body".split())
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("datalist",)}
-_BAD_TAGS = frozenset("nav footer aside form menu dialog search address fieldset".split())
-_LOOSE_TAGS = frozenset("form fieldset address".split())
-_GOOD_TAGS = frozenset("article main".split())
+#: Block elements that hold one text rather than a part of the page.
+_LEAF = frozenset("p li dt dd td th tr tbody thead tfoot caption figcaption summary option pre h1 h2 h3 h4 h5 h6 hr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|sidebar|side|aside|widget\w*|"
-    r"menus?|nav\w*|breadcrumbs?|toc|footer|foot|header|masthead|topbar|comments?|comment-\w+|replies|reply|respond|disqus|share|sharing|social|related|recommended|"
-    r"subscribe|newsletter|signup|login|search\w*|form|pagination|pager|tags|byline-links|copyright|legal|skip|toolbar|feedback|rating\w*|hidden|sr-only)(?:$|[\s_-])",
-    re.I,
-)
-#: Names of wrappers that merely say what they hold.
-_WRAPPER = re.compile(r"(?:^|\s)\S*(?:has|with|no|without|wrapper|container|layout)[_-]?\S*", re.I)
-_GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|content|post|entry|story|main|body|text)(?:$|[\s_-])", re.I)
-_BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+#: Elements open at once at most, as browsers have it; deeper ones count as the text of the last.
+DEEPEST = 512
 
 
-@dataclass
 class Element:
-    tag: str
-    parent: Element | None
-    #: 1 content, 0 neither, -1 boilerplate that may hold an article, -2 that may not; from the element itself.
-    mark: int = 0
-    #: The mark in force here: boilerplate within content counts, and content within boilerplate does not.
-    held: int = 0
-    article: bool = False
-    link: bool = False
-    heading: bool = False
-    hidden: bool = False
+    """An open element: its tag, what its names say, and whether its text is linked or hidden."""
+
+    __slots__ = ("tag", "parent", "names", "link", "hidden", "n")
+
+    def __init__(self, tag: str, parent: Element | None, names: tuple[str, ...] = (), hidden: bool = False):
+        self.tag, self.parent, self.names = tag, parent, names
+        self.link = tag == "a" or parent is not None and parent.link
+        self.hidden = hidden or parent is not None and parent.hidden
+        self.n = -1
+
+    @property
+    def part(self) -> Element:
+        """The nearest element that is a part of the page."""
+        e = self
+        while e.parent is not None and (e.tag not in _BLOCK or e.tag in _LEAF):
+            e = e.parent
+        return e
 
 
 @dataclass
@@ -80,33 +81,17 @@ class Block:
     text: str = ""
 
 
-def _mark(tag: str, attributes: str, parent: Element | None) -> tuple[int, bool]:
-    """The element's own mark, and whether it is hidden."""
-    name, role, hidden = "", "", False
-    for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+def _names(attributes: str) -> tuple[tuple[str, ...], bool]:
+    """The words of class, id, role and itemprop, and whether the element is hidden."""
+    found, hidden = [], False
+    for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id"):
-            name += " " + value
-        elif key == "role":
-            role = value.lower()
-        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDES.search(value):
             hidden = True
-        elif key == "itemprop" and value.lower() == "articlebody":
-            return 1, hidden
-    if tag in _BAD_TAGS or role in _BAD_ROLES:
-        return (-1 if tag in _LOOSE_TAGS else -2), hidden
-    if tag in _GOOD_TAGS or role in ("main", "article"):
-        return (-2, hidden) if name and re.search(r"(?:^|[\s_-])(?:comments?|reply|replies|ads?|related|promo\w*)(?:$|[\s_-])", name, re.I) else (1, hidden)
-    if tag == "header":
-        return (0 if parent is not None and parent.article else -1), hidden
-    if tag in ("html", "body"):
-        return 0, hidden
-    if name:
-        if _BAD_NAME.search(_WRAPPER.sub(" ", name)):
-            return -2, hidden
-        if _GOOD_NAME.search(name):
-            return 1, hidden
-    return 0, hidden
+        elif key in ("class", "id", "role", "itemprop"):
+            words = [w.lower() for w in _NAME.findall(value)]
+            found += [w[:-1] if len(w) > 3 and w[-1] == "s" and w[-2] != "s" else w for w in words]
+    return tuple(dict.fromkeys(found)), hidden
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -169,8 +154,8 @@ def blocks_of(html: str) -> list[Block]:
                 if tag not in _BLOCK and stack[k].tag in _BLOCK:
                     break
             continue
-        if tag in _RAW or tag in _SKIPPED:
-            if tag in _RAW and attributes.endswith("/") and tag in ("svg", "math"):
+        if tag in _RAW or tag == "head":
+            if tag == "svg" and attributes.endswith("/"):
                 continue
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>" + (r"|(?=<body[\s>])" if tag == "head" else ""), re.I).search(html, at)
             at = stop.end() if stop else (at if tag == "head" else len(html))
@@ -198,59 +183,128 @@ def blocks_of(html: str) -> list[Block]:
                     break
                 if stack[k].tag in _SCOPES[tag]:
                     break
-        parent = stack[-1]
-        mark, hidden = _mark(tag, attributes, parent)
-        element = Element(
-            tag,
-            parent,
-            mark,
-            min(mark, parent.held) if mark < 0 or parent.held == -2 else parent.held if parent.held == -1 and tag not in _GOOD_TAGS else mark or parent.held,
-            parent.article or tag in _GOOD_TAGS or mark > 0,
-            parent.link or tag == "a",
-            parent.heading or tag in _HEADINGS,
-            parent.hidden or hidden,
-        )
-        if mark < 0 and tag not in _BLOCK:
-            end()
-        stack.append(element)
+        if len(stack) < DEEPEST:
+            stack.append(Element(tag, stack[-1], *(_names(attributes) if attributes else ())))
         if tag in _BLOCK:
             end()
-        elif mark < 0:
-            now = Block(element)
     end()
     return out
 
 
-#: The classifier: log-odds of content.
-BIAS = 0.3
-IN_CONTENT = 3.5
-IN_BOILERPLATE = -7.0
-PER_WORD, MOST_WORDS = 0.1, 40
-LINKS = -4.0
-HEADING = 1.0
-SENTENCE = 0.5
-RIGHTS = -2.0
-#: Smoothness: between neighbours, between neighbours of one parent, and across a marked border.
-NEAR, SIBLING, BORDER = 0.5, 0.8, 0.05
+# --- the classifier -------------------------------------------------------------------------------
+
+
+def _step(x: float, edges: tuple[float, ...]) -> int:
+    """How many of the edges x has reached."""
+    return sum(x >= e for e in edges)
+
+
+def block_features(block: Block) -> list[str]:
+    """What a block shows by itself: its text, its links and its own element, not the part of the page it lies in."""
+    text, words = block.text, block.text.count(" ") + 1
+    long, linked = _step(words, (2, 4, 8, 16, 40)), _step(block.linked / len(text), (0.01, 0.3, 0.8))
+    out = ["", f"words {long}", f"linked {linked}", f"words {long} linked {linked}"]
+    out.append("ends " + ("sentence" if text[-1] in ".!?…:”\"" else "open"))
+    if _RIGHTS.search(text):
+        out.append("rights")
+    if sum(c.isdigit() for c in text[:200]) > 0.3 * min(200, len(text)):
+        out.append("digits")
+    e = block.parent
+    out.append(f"is {'heading' if e.tag in _HEADINGS else e.tag if e.tag in _LEAF and e.tag != 'p' else 'text'}")
+    while e.parent is not None and (e.tag in _LEAF or e.tag not in _BLOCK):
+        out += [f"named {n}" for n in e.names]
+        e = e.parent
+    return out
+
+
+@dataclass
+class Part:
+    """A part of the page, with sums over the blocks in it."""
+
+    element: Element
+    parent: int
+    blocks: int = 0
+    words: int = 0
+    chars: int = 0
+    linked: int = 0
+    sentences: int = 0
+    first: int = 0
+
+
+def parts_of(blocks: list[Block]) -> tuple[list[Part], list[int]]:
+    """The parts that hold text, outer ones first, and the part of each block."""
+    parts: list[Part] = []
+    place: list[int] = []
+    number: dict[int, int] = {}
+
+    def known(e: Element) -> int:
+        chain = []
+        while id(e) not in number:
+            chain.append(e)
+            if e.parent is None:
+                break
+            e = e.parent.part
+        for e in reversed(chain):
+            number[id(e)] = len(parts)
+            parts.append(Part(e, -1 if e.parent is None else number[id(e.parent.part)], first=len(place)))
+        return number[id(e)]
+
+    for b in blocks:
+        home = b.parent.part
+        known(home)
+        k = number[id(home)]
+        place.append(k)
+        p = parts[k]
+        p.blocks += 1
+        p.words += b.text.count(" ") + 1
+        p.chars += len(b.text)
+        p.linked += b.linked
+        p.sentences += b.text[-1] in ".!?…"
+    for p in reversed(parts):
+        if p.parent >= 0:
+            q = parts[p.parent]
+            q.blocks += p.blocks
+            q.words += p.words
+            q.chars += p.chars
+            q.linked += p.linked
+            q.sentences += p.sentences
+    return parts, place
+
+
+def part_features(parts: list[Part], k: int) -> list[str]:
+    """What a part of the page shows: its tag and names, what it holds and where, and what holds it."""
+    p, page = parts[k], parts[0]
+    share = _step(p.words / page.words, (0.1, 0.5, 0.8))
+    out = ["", f"share {share}", f"tag {p.element.tag}", f"tag {p.element.tag} {share}"]
+    for n in p.element.names:
+        out += [f"name {n}", f"name {n} {share}"]
+    linked, mean = _step(p.linked / p.chars, (0.01, 0.1, 0.3, 0.6, 0.9)), _step(p.words / p.blocks, (2, 4, 8, 16, 32))
+    out += [f"linked {linked}", f"mean {mean}", f"linked {linked} mean {mean}"]
+    out.append(f"sentences {_step(p.sentences / p.blocks, (0.1, 0.4, 0.7, 0.9))}")
+    out.append(f"from {_step(p.first / page.blocks, (0.001, 0.3, 0.7))} to {_step((p.first + p.blocks) / page.blocks, (0.3, 0.7, 0.999))}")
+    up, k = 0, p.parent
+    while k > 0 and up < 12:
+        e, big = parts[k].element, _step(parts[k].words / page.words, (0.5,))
+        out += [f"in {e.tag} {big}", *(f"in name {n} {big}" for n in e.names)]
+        up, k = up + 1, parts[k].parent
+    return out
+
+
 _RIGHTS = re.compile(r"©|\(c\) \d{4}|all rights reserved", re.I)
 
 
-def cost(block: Block) -> float:
-    """Log-odds that a block is content."""
-    n = len(block.text.split())
-    held = block.parent.held
-    score = BIAS + (IN_CONTENT if held > 0 else IN_BOILERPLATE if held < 0 else 0.0)
-    score += PER_WORD * min(n, MOST_WORDS)
-    score += LINKS * min(1.0, block.linked / max(1, len(block.text))) * (0.3 if held > 0 else 1.0)
-    score += HEADING * block.parent.heading + SENTENCE * (block.text[-1] in ".!?…")
-    if held <= 0 and _RIGHTS.search(block.text):
-        score += RIGHTS
-    return score
+@dataclass
+class Model:
+    """Weights (log-odds of content) of the features of blocks and of parts."""
 
+    block: dict[str, float]
+    part: dict[str, float]
 
-def _group(e: Element) -> Element:
-    """The element whose children count as siblings of a block."""
-    return e.parent if e.parent is not None and e.tag in ("p", "li", "td", "th", "dd", "dt", *_HEADINGS) else e
+
+# --- the cut ----------------------------------------------------------------------------------------
+
+#: Smoothness edges: a block and its part, a part and the one around it, neighbours in one part and in two.
+HOLD, NEST, NEAR, FAR = 3.0, 0.5, 0.2, 0.05
 
 
 def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -317,44 +371,62 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
                 break
 
 
-def label(blocks: list[Block]) -> list[bool]:
-    """For each block whether it is content."""
-    costs = [cost(b) for b in blocks]
-    edges = []
-    last: dict[int, int] = {}
-    for i, b in enumerate(blocks):
-        group = _group(b.parent)
-        if i:
-            a = blocks[i - 1]
-            same = _group(a.parent) is group
-            edges.append((i - 1, i, BORDER if a.parent.held != b.parent.held else SIBLING if same else NEAR))
-        if (k := last.get(id(group))) is not None and k < i - 1:
-            edges.append((k, i, BORDER if blocks[k].parent.held != b.parent.held else SIBLING))
-        last[id(group)] = i
-    if not edges or all(c > 0 for c in costs) or all(c < 0 for c in costs):
-        return [c > 0 for c in costs]
-    return min_cut(costs, edges)
-
-
-def main_text(html: str | None) -> str:
+def costs_of(model: Model, blocks: list[Block]) -> tuple[list[float], list[float], list[Part], list[int]]:
+    """Log-odds of content of each block and of each part; the parts, and the part of each block.
+
+    A part speaks for all the blocks it holds at once and their texts say much the
+    same: its cost grows with the root of their number, the texts' share shrinks with it.
+    """
+    parts, place = parts_of(blocks)
+    one, two = model.block, model.part
+    held = Counter(place)
+    around = [sum(two.get(f, 0.0) for f in part_features(parts, k)) * max(1, held[k]) ** 0.5 for k in range(len(parts))]
+    own = [sum(one.get(f, 0.0) if f.startswith("named") else one.get(f, 0.0) / held[k] ** 0.5 for f in block_features(b)) for b, k in zip(blocks, place)]
+    return own, around, parts, place
+
+
+def label(model: Model, blocks: list[Block]) -> list[bool]:
+    """For each block whether it is content: blocks and parts of the page are nodes of one graph, cut where it is cheapest."""
+    if not blocks:
+        return []
+    own, around, parts, place = costs_of(model, blocks)
+    n = len(own)
+    edges = [(i, n + k, HOLD) for i, k in enumerate(place)]
+    edges += [(n + k, n + p.parent, NEST) for k, p in enumerate(parts) if p.parent >= 0]
+    edges += [(i - 1, i, NEAR if place[i - 1] == place[i] else FAR) for i in range(1, n)]
+    return min_cut(own + around, edges)[:n]
+
+
+def main_text(html: str | None, model: Model | None = None) -> str:
     """The page's content: blocks in page order, joined by a line feed."""
     if not html:
         return ""
     blocks = blocks_of(html)
-    return "\n".join(b.text for b, good in zip(blocks, label(blocks)) if good)
+    return "\n".join(b.text for b, good in zip(blocks, label(model or trained(), blocks)) if good)
+
+
+def trained() -> Model:
+    from .html_model import train
+
+    return train()
 
 
-def extract(pages: DataFrame, html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", model: Model | None = None) -> DataFrame:
     """Per row of ``pages``: page_id, url, text and n_chars (code points).
 
     A null, empty or text-free page gives an empty text and 0. Pages are read
-    whole and one by one; only the three columns are read.
+    whole and one by one, so rows that repeat get equal texts, and a page
+    nested deeper than DEEPEST keeps its text. An empty table gives no rows.
+    Only the three columns are read, so further columns cannot clash.
     """
+    model = model or trained()
+    shared = pages.sparkSession.sparkContext.broadcast((model.block, model.part))  # a few thousand weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                texts = [main_text(h.as_py()) for h in batch.column("html")]
+                texts = [main_text(h.as_py(), model) for h in batch.column("html")]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))],
                     names=["page_id", "url", "text", "n_chars"],

@@ -39,9 +39,9 @@ from .common import Words, chunks, cut, lean, mix, rolled, sliding, utf8
 WINDOW = 35
 GRAM = 8
 DEPTH = 2
-#: Cells of a block's row (log 2), and the bytes of text a block is made for: some 60,000 anchors.
-CELLS = 20
-BYTES_PER_BLOCK = 1 << 22
+#: Cells of a block's row (log 2), and the bytes of text a block is made for: some 4,000 anchors.
+CELLS = 16
+BYTES_PER_BLOCK = 1 << 18
 #: Texts a task remembers to drop copies of.
 REMEMBERED = 1 << 19
 #: Parts that a class of very many rows is spread over when its result goes back to them.
