@@ -231,6 +231,66 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(few(out, 2 * most))
 
 
+#: Parts that a key of very many rows is spread over when a result goes back to them.
+SPREAD = 64
+#: Bits of a filter of ids, at most: 8 MB.
+FILTER_BITS = 1 << 26
+#: Keys that a task remembers to drop rows of equal key.
+REMEMBERED = 1 << 19
+
+
+def first_seen(*keys: str):
+    """A map function that drops rows whose ``keys`` its task has sent already (it forgets all beyond REMEMBERED)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            fresh = []
+            for key in zip(*(batch.column(k).to_pylist() for k in keys)):
+                fresh.append(key not in seen)
+                seen.add(key)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    return run
+
+
+def bit_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """A bit for the low bits of each ``id``; ids not asked for may share one. At most FILTER_BITS come to the driver."""
+    bits = min(FILTER_BITS, 1 << max(10, (16 * n).bit_length()))
+    place = F.col("id").bitwiseAND(F.lit(bits - 1).cast("long"))
+    words = ids.select(place.alias("p")).selectExpr("shiftright(p, 6) AS word", "shiftleft(1L, CAST(p & 63 AS INT)) AS bit")
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_filter(key: str, asked: np.ndarray):
+    """A map function that keeps the rows whose ``key`` the filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(key).to_numpy().view(np.uint64) & np.uint64(64 * len(asked) - 1)
+            yield batch.filter(pa.array((asked[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
+
+    return run
+
+
+def back_to_rows(rows: DataFrame, made: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
+    """``rows`` joined with ``made`` (one row per ``keys``, never null).
+
+    heavy: the keys of over a thousandth of all rows, so fewer than a thousand;
+    they are broadcast, and rows of these keys are spread over SPREAD tasks.
+    """
+    heavy = F.broadcast(heavy.select(*keys, F.lit(SPREAD).alias("_ways")))
+    many = F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1))
+    made = made.join(heavy, keys, "left").withColumn("_way", many).drop("_ways")
+    way = F.when(F.col("_ways").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int"))
+    return rows.join(heavy, keys, "left").withColumn("_way", way).drop("_ways").join(made, [*keys, "_way"]).drop("_way")
+
+
 class Forest:
     """Union-find over 0..n-1 whose labels are kept flat for vectorised lookups."""
 
@@ -240,6 +300,11 @@ class Forest:
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         """Links a[i] with b[i]; keeps only the links that join two trees."""
+        # In pieces: what the first ones join, the others need not sort.
+        for k in range(0, len(a), 1 << 14):
+            self._link(a[k : k + (1 << 14)], b[k : k + (1 << 14)])
+
+    def _link(self, a: np.ndarray, b: np.ndarray) -> None:
         la, lb = self.label[a], self.label[b]
         differ = la != lb
         if not differ.any():

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut, lean, mix, rolled, sliding, utf8
+from .common import Words, back_to_rows, chunks, cut, first_seen, lean, mix, rolled, sliding, utf8
 
 WINDOW = 35
 GRAM = 8
@@ -42,10 +42,6 @@ DEPTH = 2
 #: Cells of a block's row (log 2), and the bytes of text a block is made for: some 4,000 anchors.
 CELLS = 16
 BYTES_PER_BLOCK = 1 << 18
-#: Texts a task remembers to drop copies of.
-REMEMBERED = 1 << 19
-#: Parts that a class of very many rows is spread over when its result goes back to them.
-SPREAD = 64
 
 _ROW = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _SPAN = WINDOW - GRAM + 1
@@ -291,19 +287,6 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(7), t).alias("h2"), t.alias("text"))
 
 
-def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops the copies of texts that this task has sent already."""
-    seen: set[tuple[int, int]] = set()
-    for batch in batches:
-        fresh = []
-        for key in zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist()):
-            fresh.append(key not in seen)
-            seen.add(key)
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        yield batch.filter(pa.array(fresh, pa.bool_()))
-
-
 def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, int, int]:
     """(one row per different text with its number of rows, those numbers, all rows' count and bytes).
 
@@ -312,7 +295,7 @@ def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame,
     keyed = _keyed(docs, text)
     counted = cut(keyed.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.first(F.octet_length("text")).alias("bytes")))
     rows, size = counted.agg(F.sum("copies"), F.sum(F.col("bytes").cast("long"))).first()
-    own = keyed.select("h1", "h2", "text").mapInArrow(lean(_first_seen), "h1 long, h2 long, text string")
+    own = keyed.select("h1", "h2", "text").mapInArrow(lean(first_seen("h1", "h2")), "h1 long, h2 long, text string")
     # The counts are far smaller than the texts: hashing them spares the texts a sort.
     texts = own.join(counted.select("h1", "h2", "copies").hint("SHUFFLE_HASH"), ["h1", "h2"])
     return texts, counted, rows or 0, size or 0
@@ -339,13 +322,8 @@ def _judged(docs: DataFrame, text: str, run, result: str) -> DataFrame:
     packed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("length").cast("long"))
     runs = repeated_windows(texts, size).groupBy("h1", "h2").agg(F.collect_list(packed).alias("runs")).hint("SHUFFLE_HASH")
     made = texts.join(runs, ["h1", "h2"], "left").select("h1", "h2", "copies", "text", "runs").mapInArrow(lean(run), f"h1 long, h2 long, {result}").dropDuplicates(["h1", "h2"])
-    # A class of over a thousandth of all rows is spread over many tasks; there are fewer than a thousand such.
-    hot = counted.where(F.col("copies") > max(1000, n // 1000)).select("h1", "h2", F.lit(SPREAD).alias("ways"))
-    many = F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)).alias("way")
-    made = made.join(F.broadcast(hot), ["h1", "h2"], "left").select("h1", "h2", *[c.split()[0] for c in result.split(", ")], many)
-    way = F.when(F.col("ways").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")).alias("way")
-    rows = _keyed(docs, text).select("doc_id", "h1", "h2").join(F.broadcast(hot), ["h1", "h2"], "left").select("doc_id", "h1", "h2", way)
-    return rows.join(made, ["h1", "h2", "way"]).select("doc_id", *[c.split()[0] for c in result.split(", ")])
+    heavy = counted.where(F.col("copies") > max(1000, n // 1000)).select("h1", "h2")
+    return back_to_rows(_keyed(docs, text).select("doc_id", "h1", "h2"), made, ["h1", "h2"], heavy).drop("h1", "h2")
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
