@@ -188,6 +188,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized_anew(df: DataFrame) -> DataFrame:
+    """The rows of a cut ``df`` without the planner's estimate of their size.
+
+    Estimates of joins are products; carried from round to round they grow into
+    numbers of many thousand digits, and planning stands still.
+    """
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
+
+
 def few(df: DataFrame, rows: int) -> DataFrame:
     """``df`` in as many partitions as so many (narrow) rows are worth, without a shuffle."""
     return df.coalesce(max(8, -(-rows // 200_000)))
@@ -204,14 +214,14 @@ def components(edges: DataFrame) -> DataFrame:
     def rank(c: str, salt: int):
         return F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("h"), F.col(c).alias("v"))
 
-    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = sized_anew(cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     steps: list[DataFrame] = []
     most = left = edges.count()
     while left:
         salt = len(steps)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         moved = both.groupBy("a").agg(F.min(rank("b", salt)).alias("m"))
-        move = cut(few(moved.select(F.col("a").alias("node"), F.least(F.col("m"), rank("a", salt)).getField("v").alias("to")), 2 * left))
+        move = sized_anew(cut(few(moved.select(F.col("a").alias("node"), F.least(F.col("m"), rank("a", salt)).getField("v").alias("to")), 2 * left)))
         steps.append(move)
         renamed = (
             edges.join(move.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
@@ -220,7 +230,7 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
-        edges = cut(few(renamed, left))
+        edges = sized_anew(cut(few(renamed, left)))
         left = edges.count()
     spark = edges.sparkSession
     if not steps:
@@ -228,7 +238,7 @@ def components(edges: DataFrame) -> DataFrame:
     out = steps[0].select("node", F.col("to").alias("root"))
     for move in steps[1:]:
         out = out.join(move.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return cut(few(out, 2 * most))
+    return sized_anew(cut(few(out, 2 * most)))
 
 
 #: Parts that a key of very many rows is spread over when a result goes back to them.
