@@ -39,8 +39,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("_tokens").alias("tokens"), F.col("_topic").alias("topic"), F.round("_chance", 6).alias("chance"), F.col("_kept").alias("kept"))
+    found = mixing.decide(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "tokens", "topic", F.round("chance", 6).alias("chance"), "kept")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

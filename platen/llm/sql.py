@@ -58,15 +58,23 @@ kept AS (SELECT word.rid, string_agg(w, ' ' ORDER BY word.p) AS t, count(*) AS n
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, (len(d.ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.rid = kept.rid"""
 
+
+
 def mixed(source: str) -> str:
-    """A WITH list that ends in ``mixed``: ``source``'s documents with tokens, topic, chance and kept."""
+    """A WITH list that ends in ``mixed``: ``source``'s documents with tokens, topic, chance and draw."""
+    quoted = {k: "chr(10)" if v == "\n" else f"'{v}'" for k, v in mixing.TRAITS.items()}
+    names = list(quoted)
+    score = {k: f"CASE WHEN d_{k} > 0 THEN ({k} - m_{k}) / d_{k} END" for k in names}
+    top = f"greatest({', '.join(f'z_{k}' for k in names)})"
+    cases = " ".join(f"WHEN z_{k} >= {mixing.STANDS_OUT} AND z_{k} = {top} THEN '{k}'" for k in names)
     parts = [
-        f"""c AS (SELECT *, coalesce(text, '') AS t FROM {source})""",
-        f"""b AS (SELECT *, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens,
-    CASE WHEN contains(t, ' | ') THEN 'table' WHEN regexp_matches(t, '[#$%&*]{{3}}') THEN 'symbols' WHEN contains(t, '!! ') THEN 'shouting'
-        WHEN contains(t, 'Licensed under') OR contains(t, 'General Public License') THEN 'licence' WHEN contains(t, '@') THEN 'contact'
-        WHEN length(t) >= 4000 THEN 'long prose' ELSE 'prose' END AS topic,
-    ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / {1 << 52}.0 AS draw FROM c)""",
+        f"""c AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM {source})""",
+        f"""f0 AS (SELECT doc_id, source, lang, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens,
+    ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / {1 << 52}.0 AS draw,
+    {', '.join(f"(length(t) - length(translate(t, {v}, ''))) / greatest(length(t), 1) AS {k}" for k, v in quoted.items())} FROM c)""",
+        f"st AS (SELECT {', '.join(f'avg({k}) AS m_{k}, stddev_pop({k}) AS d_{k}' for k in names)} FROM f0)",
+        f"z AS (SELECT f0.*, {', '.join(f'{e} AS z_{k}' for k, e in score.items())} FROM f0 CROSS JOIN st)",
+        f"b AS MATERIALIZED (SELECT doc_id, source, lang, tokens, draw, CASE {cases} ELSE 'plain' END AS topic FROM z)",
         "cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM b GROUP BY ALL HAVING sum(tokens) > 0)",
         *[f"t_{m} AS (SELECT {m}, pow(s, {mixing.TEMPER}) / sum(pow(s, {mixing.TEMPER})) OVER () AS target FROM (SELECT {m}, sum(tokens) AS s FROM cells GROUP BY {m}))" for m in mixing.MARGINS],
         """w0 AS MATERIALIZED (SELECT cells.*, tokens / sum(tokens) OVER () AS share, tokens / sum(tokens) OVER () AS weight, a.target AS x_source, l.target AS x_lang, p.target AS x_topic
@@ -77,12 +85,11 @@ def mixed(source: str) -> str:
         for m in mixing.MARGINS:
             parts.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (weight * x_{m} / sum(weight) OVER (PARTITION BY {m}) AS weight) FROM w{k})")
             k += 1
+    far = 1 / mixing.KEEP
     parts += [
-        f"r AS (SELECT *, (weight / sum(weight) OVER ()) / share AS ratio, weight / sum(weight) OVER () AS v FROM w{k})",
-        f"""f AS (SELECT *, ({mixing.KEEP} - coalesce(sum(share) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(v) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
-    FROM r WINDOW o AS (ORDER BY ratio DESC, source, lang, topic))""",
-        "g AS (SELECT coalesce(arg_max(rate, ratio) FILTER (WHERE rate * ratio <= 1), 'inf'::DOUBLE) AS rate FROM f)",
-        """mixed AS (SELECT b.*, CASE WHEN b.tokens > 0 THEN least(1, greatest(0, g.rate * r.ratio)) ELSE 1 END AS chance
+        f"r AS (SELECT *, (weight / sum(weight) OVER ()) / share AS ratio FROM w{k})",
+        f"g AS (SELECT CASE WHEN max(ratio) > {far} THEN ({far} - 1) / (max(ratio) - 1) ELSE 1 END AS part FROM r)",
+        f"""mixed AS (SELECT b.*, CASE WHEN b.tokens > 0 THEN least(1, {mixing.KEEP} * ((1 - part) + part * r.ratio)) ELSE 1 END AS chance
     FROM b CROSS JOIN g LEFT JOIN r ON b.source IS NOT DISTINCT FROM r.source AND b.lang IS NOT DISTINCT FROM r.lang AND b.topic = r.topic)""",
     ]
     return ",\n".join(parts)

@@ -55,7 +55,7 @@ def per_row(name, odd, none, labels):
         "substring": substring.dedup_digests,
         "simhash": simhash.near_duplicates,
         "classifier": lambda d: classifier.classify(d, labels),
-        "mixing": mixing.mix,
+        "mixing": mixing.decide,
         "pii": pii.digests,
     }[name]
     return run(odd), run(none)
@@ -290,9 +290,35 @@ def test_raked_margins_hold(spark):
     for m, t in targets.items():
         got = {r[m]: r.w for r in raked.groupBy(m).agg(F.sum("weight").alias("w")).collect()}
         assert all(abs(got[k] - v) < 1e-4 for k, v in t)
-    kept = mixing.chances(raked, 0.4).agg(F.sum(F.col("chance") * F.col("share"))).first()[0]
-    assert abs(kept - 0.4) < 1e-9
-    assert mixing.chances(raked, 1.0).where("chance < 0 OR chance > 1").count() == 0
+    # The sample's expected margins are the targets, and no chance exceeds 1, whatever is to be kept.
+    for keep in (0.05, 0.4, 1.0):
+        table = mixing.chances(raked, keep)
+        assert table.where("chance < 0 OR chance > 1").count() == 0
+        for r in mixing.margins(table).collect():
+            assert abs(r.expected - r.target) < 1e-9 and abs(r.target - dict(targets[r.margin])[r.value]) < 1e-4
+    kept = mixing.chances(raked, 0.05).agg(F.sum(F.col("chance") * F.col("share"))).first()[0]
+    assert abs(kept - 0.05) < 1e-9
+
+
+def test_default_targets_are_met_and_keep_enough(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    base = mixing.base_of(docs)
+    base = base.withColumn("topic", mixing.topic(mixing.spread_of(base)))
+    table = mixing.fitted(base)
+    got = table.agg(F.sum(F.col("chance") * F.col("share")), F.max("chance")).first()
+    assert abs(got[0] - mixing.KEEP) < 1e-9 and got[1] <= 1
+    rows = mixing.margins(table).collect()
+    assert all(abs(r.expected - r.target) < 1e-9 for r in rows) and any(abs(r.target - r.observed) > 1e-4 for r in rows)
+    assert len({r.value for r in rows if r.margin == "topic"}) >= 4
+
+
+def test_given_topics_and_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "a b c", "s", "en", f"t{i % 2}", 1, "x", "y") for i in range(50)], "doc_id long, text string, source string, lang string, topic string, kept int, row string, draw string")
+    got = mixing.decide(docs, topic="topic").collect()
+    assert {r.topic for r in got} == {"t0", "t1"} and len(got) == 50
+    kept = mixing.keep_rows(docs)
+    assert kept.columns == docs.columns and 0 < kept.count() <= 50 and {r.kept for r in kept.collect()} == {1}
+    assert mixing.keep_rows(docs.where("false")).count() == 0
 
 
 # --- 8 HTML -------------------------------------------------------------------------------------------
