@@ -247,8 +247,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = minhash.SIMI
     Texts whose sets of shingles have at least this Jaccard similarity are
     linked, however many bits of their fingerprints differ, and components of
     links are groups. What stays is the row of least doc_id (null before all),
-    then of least text hash; of rows equal in both, one by order of source and
-    language if there are such columns. Columns of ``docs`` stay as they are.
+    then of least text hash; of rows equal in both, the first by source,
+    language and then the other columns. Columns of ``docs`` stay as they are.
     """
     own = docs.columns
     t = F.coalesce(F.col(text), F.lit(""))
@@ -258,6 +258,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = minhash.SIMI
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(t).alias("_hash")).join(grouped.withColumnRenamed("node", "_hash"), "_hash", "left")
     stays = named.groupBy(F.coalesce("root", "_hash").alias("group")).agg(F.min(F.struct("doc_id", "_hash")).alias("m")).select(F.col("m.doc_id").alias("_i"), F.col("m._hash").alias("_h"))
     kept = keyed.join(stays, keyed["_id"].eqNullSafe(stays["_i"]) & (keyed["_hash"] == stays["_h"]), "left_semi")
-    order = [F.col(f"_row.`{c}`") for c in ("source", "lang") if c in own] or [F.lit(0)]
-    first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(*order))
+    order = [F.col(f"_row.`{c}`") for c in ("source", "lang") if c in own]
+    rest = [F.col(f"_row.`{c}`").alias(c) for c in own if c not in ("doc_id", text, "source", "lang")]
+    if rest:
+        order.append(F.to_json(F.struct(*rest)))
+    first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(*(order or [F.lit(0)])))
     return kept.withColumn("_n", first).where("_n = 1").select(*[F.col(f"_row.`{c}`").alias(c) for c in own])
