@@ -1,21 +1,23 @@
 """Personal data: exact patterns, and a character BiLSTM with CRF transitions trained in numpy.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers by fixed
-patterns. The tagger adds spans of these kinds that the patterns miss (numbers
-written without a country code, addresses with the sign spelt in brackets).
-It is trained on labelled spans, drawn from a seeded generator, when first
-needed, and has a few thousand weights whatever the corpus.
-
-Every trained kind holds a digit or an at sign, so windows are laid around
-these: overlapping windows are scored, each character takes the mean of its
-windows' scores (more weight to those it stands in the middle of), and one
-Viterbi pass decodes each whole stretch, so no span is cut at a window's edge.
-A tagged span counts if it has the make-up of its kind and touches no base span.
+patterns. The tagger adds spans of these kinds that the patterns miss: numbers
+without a country code, addresses with their signs spelt out or in brackets,
+dotted cards. It is trained on labelled spans, drawn from a seeded generator,
+when first needed, and has a few thousand weights whatever the corpus.
+
+Overlapping windows are laid over every whole text. Those that hold what any span
+that counts must hold (``_TRIGGER``), and the windows beside them, are scored and
+each character takes the mean of its windows' scores (more weight to those it
+stands in the middle of). Where no label comes within ``QUIET`` of "outside" for
+``APART`` characters, the text falls apart into stretches; one Viterbi pass
+decodes each whole stretch, so no span is cut at a window's edge. A tagged span
+counts if it has the make-up of its kind and touches no base span.
 """
 
 from __future__ import annotations
 
-import hashlib
+import os
 import random
 import re
 from collections.abc import Iterator
@@ -92,11 +94,14 @@ def base(text: str) -> list[tuple[int, int, int]]:
 
 # --- the tagger ---------------------------------------------------------------------------------
 
+#: Characters of a window to learn from; of one to score, and how far the next is off.
 WINDOW = 64
-STRIDE = 32
-#: Characters of context on either side of a digit or an at sign.
-MARGIN = 24
-HIDDEN = 24
+SCORED, STRIDE = 128, 96
+HIDDEN = 16
+#: Log-odds by which "outside" leads every other label where nothing can be, and characters of such quiet between stretches.
+QUIET, APART = 7.0, 4
+#: Characters of a text that are scored at once.
+SECTION = 1 << 18
 #: Labels: 0 outside; 1 + 2 k begins and 2 + 2 k continues a span of kind k.
 LABELS = 1 + 2 * len(KINDS)
 #: Character classes: ASCII, other letters, the rest; 0 pads.
@@ -108,6 +113,9 @@ def _classes(text: str) -> np.ndarray:
     return np.where(code < 128, code, np.where(code >= 0xC0, 128, 129)).astype(np.int64)
 
 
+GATE, HALF = np.float32(0.25), np.float32(0.5)
+
+
 class Tagger:
     """A bidirectional LSTM over character classes with a linear-chain CRF on top."""
 
@@ -136,11 +144,13 @@ class Tagger:
         out = np.empty((n, time, HIDDEN), np.float32)
         for t in range(time) if d == "f" else range(time - 1, -1, -1):
             gates = table[x[:, t]] + h @ u
-            ifo = 1 / (1 + np.exp(-gates[:, : 3 * HIDDEN]))
-            g = np.tanh(gates[:, 3 * HIDDEN :])
+            # Gates by a clipped line, states by x / (1 + |x|): a third of the time of the exponentials.
+            ifo = np.minimum(np.maximum(gates[:, : 3 * HIDDEN] * GATE + HALF, 0), 1)
+            g = gates[:, 3 * HIDDEN :]
+            g = g / (1 + np.abs(g))
             old, before = c, h
             c = ifo[:, HIDDEN : 2 * HIDDEN] * c + ifo[:, :HIDDEN] * g
-            tc = np.tanh(c)
+            tc = c / (1 + np.abs(c))
             h = ifo[:, 2 * HIDDEN :] * tc
             out[:, t] = h
             if keep is not None:
@@ -193,19 +203,23 @@ class Tagger:
         dh = de @ self.w["o"].T
         for k, d in enumerate("fb"):
             u = self.w[f"u{d}"]
-            du, dx = np.zeros_like(u), np.zeros_like(self.w[f"x{d}"])
+            du, dx, all_dg = np.zeros_like(u), np.zeros_like(self.w[f"x{d}"]), []
             later = np.zeros((n, HIDDEN), np.float32)
             dc = np.zeros((n, HIDDEN), np.float32)
             for i, ifo, g, old, tc, before in reversed(kept[d]):
                 dhi = dh[:, i, k * HIDDEN : (k + 1) * HIDDEN] + later
                 o = ifo[:, 2 * HIDDEN :]
-                dc = dc + dhi * o * (1 - tc * tc)
-                dg = np.concatenate([dc * g, dc * old, dhi * tc], 1) * ifo * (1 - ifo)
-                dg = np.concatenate([dg, dc * ifo[:, :HIDDEN] * (1 - g * g)], 1)
-                np.add.at(dx, x[:, i], dg)
+                dc = dc + dhi * o * (1 - np.abs(tc)) ** 2
+                dg = np.concatenate([dc * g, dc * old, dhi * tc], 1) * ((ifo > 0) & (ifo < 1)) * GATE
+                dg = np.concatenate([dg, dc * ifo[:, :HIDDEN] * (1 - np.abs(g)) ** 2], 1)
+                all_dg.append((i, dg))
                 du += before.T @ dg
                 later = dg @ u.T
                 dc = dc * ifo[:, HIDDEN : 2 * HIDDEN]
+            seen = x[:, [i for i, _ in all_dg]].T.ravel()
+            order = np.argsort(seen, kind="stable")
+            known, first = np.unique(seen[order], return_index=True)
+            dx[known] = np.add.reduceat(np.concatenate([g for _, g in all_dg])[order], first)
             grads[f"x{d}"], grads[f"u{d}"] = dx, du
         return float((z.sum() - gold) * scale), grads
 
@@ -232,31 +246,38 @@ def _digits(r: random.Random, n: int) -> str:
 
 def _entity(r: random.Random) -> tuple[str, int]:
     """A labelled span: (text, kind); kind -1: a number or sign that is none."""
-    k = r.randint(0, 9)
+    k = r.randint(0, 13)
     name = re.sub(r"\W", "", _word(r).lower()) or "ann"
-    host = f"{r.choice(('mail', 'post', 'web'))}{r.randint(0, 9)}.{r.choice(('example', 'corp', 'uni'))}.{r.choice(('com', 'org', 'net', 'de'))}"
+    if r.random() < 0.6:
+        name += r.choice(("", ".", "_")) + r.choice((_digits(r, 2), re.sub(r"\W", "", _word(r).lower()), r.choice("abcdehjkmst")))
+    parts = [r.choice(("mail", "post", "web", "inbox", "team", "info", "")) + r.choice(("", str(r.randint(0, 9)))), re.sub(r"\W", "", _word(r).lower()) or "example", r.choice(("com", "org", "net", "de", "io", "fr"))]
+    parts = [p for p in parts if p]
     group = (_digits(r, 3), _digits(r, 3), _digits(r, 4))
     if k == 0:
-        return f"{name}.{_digits(r, 2)}@{host}", 0
-    if k == 1:
-        return f"{name}{r.choice(('', '.' + _digits(r, 2)))}{r.choice((' [at] ', ' (at) ', '[at]', '(at)'))}{host}", 0
-    if k == 2:
-        return ".".join(str(r.randint(0, 255)) for _ in range(4)), 1
+        return f"{name}@{'.'.join(parts)}", 0
+    if k in (1, 2):
+        at = r.choice((" [at] ", " (at) ", "[at]", "(at)", " [AT] ", " AT ", " at ", "{at}", " <at> "))
+        dot = r.choice((" [dot] ", " (dot) ", "[dot]", " DOT ", " dot ")) if r.random() < 0.5 or at in (" at ", " AT ") else "."
+        return name + at + dot.join(parts), 0
     if k == 3:
+        return ".".join(str(r.randint(0, 255)) for _ in range(4)), 1
+    if k == 4:
+        return r.choice(("[.]", "(.)", " . ", "[dot]", " dot ")).join(str(r.randint(0, 255)) for _ in range(4)), 1
+    if k in (5, 6):
         d = _digits(r, 15)
         d += next(c for c in "0123456789" if _luhn(d + c))
-        return r.choice((d, " ".join(d[i : i + 4] for i in range(0, 16, 4)), "-".join(d[i : i + 4] for i in range(0, 16, 4)))), 2
-    if k == 4:
+        return d if k == 5 and r.random() < 0.3 else r.choice((" ", "-") if k == 5 else (".", "  ", "/", "_", " - ")).join(d[i : i + 4] for i in range(0, 16, 4)), 2
+    if k == 7:
         return r.choice(("+1 (%s) %s-%s", "+1 %s %s %s", "+49 %s %s%s")) % group, 3
-    if k == 5:
-        return r.choice(("(%s) %s-%s", "%s-%s-%s", "(%s) %s %s")) % group, 3
-    if k == 6:
+    if k in (8, 9):
+        return r.choice(("(%s) %s-%s", "%s-%s-%s", "(%s) %s %s", "%s.%s.%s", "0%s/%s%s", "00 1 %s %s %s", "%s %s %s")) % group, 3
+    if k == 10:
         return "token = \"" + "".join(r.choice("0123456789abcdef") for _ in range(40)) + '"', -1
-    if k == 7:
-        return r.choice(("version 2.0", "version 3.", "CC BY-NC 4.0.", "1999", "3.14", "12,500", "50%", "1.2.3", "10:45", "2024-01-31", "31.12.2023", "1 000 000")), -1
-    if k == 8:
-        return _digits(r, r.randint(1, 8)), -1
-    return r.choice(("@", "a @ b", "@" + name, "p. 12", "No. 7", "#42", "1-2", "2/3", "(3)", "[7]", "1) 2) 3)")), -1
+    if k == 11:
+        return r.choice(("version 2.0", "version 3.", "CC BY-NC 4.0.", "1999", "3.14", "12,500", "50%", "1.2.3", "10:45", "2024-01-31", "31.12.2023", "1 000 000", "12 34 56", "at home", "dot the i", "look at it", "1, 2, 3, 4", "1.2.3.4.5.6")), -1
+    if k == 12:
+        return r.choice((_digits(r, r.randint(1, 8)), f"{_digits(r, 3)},{_digits(r, 3)},{_digits(r, 3)}", f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)} 1{r.randint(0, 9)}:{r.randint(10, 59)}", f"{_word(r)} at {_word(r)}", " ".join(_digits(r, 2) for _ in range(3)))), -1
+    return r.choice(("@", "a @ b", "@" + name, "p. 12", "No. 7", "#42", "1-2", "2/3", "(3)", "[7]", "1) 2) 3)", "at the dot", " | ", "***", "§ 12.3")), -1
 
 
 def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -310,70 +331,160 @@ def train(steps: int = 400, batch: int = 64, seed: int = 5) -> Tagger:
     return Tagger(_TRAINED[key])
 
 
-def _stretches(text: str) -> list[tuple[int, int]]:
-    """The parts of a text within MARGIN of a digit or an at sign."""
-    out: list[list[int]] = []
-    for m in re.finditer(r"[0-9@]+|[\[(]at[\])]", text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def fitted() -> Tagger:
+    """The tagger of train()'s default arguments: its weights lie beside this file.
+
+    ``python -m platen.llm.pii`` makes them anew, from the seed.
+    """
+    path = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.npz")
+    if not os.path.exists(path):
+        return train()
+    with np.load(path) as held:
+        return Tagger({k: held[k] for k in held.files})
 
 
-_CENTRAL = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.float32)
+_CENTRAL = (np.minimum(np.arange(SCORED), np.arange(SCORED)[::-1]) + 1).astype(np.float32)
+#: An address in any spelling of its signs.
+_SPELT = re.compile(
+    r"[\w.%+-]+\s?(?:@|[\[({<]?\bat\b[\])}>]?)\s?[\w-]+(?:(?:\.|\s?[\[({<]?\bdot\b[\])}>]?\s?)[\w-]+)+", re.I
+)
+#: What any span that counts holds: a digit, or an address's sign with the start of a domain.
+_TRIGGER = re.compile(r"[0-9@]|\bat\b[\])}>]?\s?[\w-]+(?:\.[\w-]|\s?[\[({<]?\bdot\b)", re.I)
 
 
 def _plausible(kind: int, text: str) -> bool:
+    """Whether a tagged span has the make-up of its kind, in whatever spelling."""
     n = len(_DIGITS.findall(text))
     if kind == 0:
-        return bool(re.search(r"@|[\[(]at[\])]", text)) and "." in text
+        return bool(_SPELT.fullmatch(text))
     if kind == 1:
-        return bool(ips(text))
+        numbers = re.findall(r"[0-9]+", text)
+        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers) and len(text) <= 39
     if kind == 2:
-        return 12 <= n <= 19 and _luhn("".join(_DIGITS.findall(text)))
-    return 9 <= n <= 15 and bool(re.fullmatch(r"[+(]?[0-9][\x20().0-9-]*[0-9]", text)) and bool(re.search(r"[\x20().-]", text))
+        return 12 <= n <= 19 and _luhn("".join(_DIGITS.findall(text))) and len(text) <= 2 * n + 6
+    return 9 <= n <= 15 and bool(re.fullmatch(r"[+(]?[0-9][\x20()./0-9-]*[0-9]", text)) and bool(re.search(r"[\x20()./-]", text))
+
 
+def _scores(model: Tagger, text: str, codes: np.ndarray, a: int, b: int, all_windows: bool = False) -> np.ndarray:
+    """The scores of characters a to b of a text, from windows that lie at multiples of STRIDE.
 
-def tagged(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    A window without a trigger, and whose neighbours have none, can hold no
+    part of a span that counts: its characters are "outside" without a look.
+    """
+    first = max(0, (a - SCORED) // STRIDE + 1)
+    starts = np.arange(first * STRIDE, b, STRIDE)
+    low, high = int(starts[0]), int(starts[-1]) + SCORED
+    asked = np.full(len(starts) + 2, all_windows)
+    for m in _TRIGGER.finditer(text, max(0, low - 4 * SCORED), min(len(text), high + 8 * SCORED)):
+        k = m.start() // STRIDE - first + 1
+        asked[max(0, k - 2) : max(0, k + 2)] = True
+    some = np.flatnonzero(asked[1:-1])
+    total, weight = np.zeros((high - low, LABELS), np.float32), np.zeros(high - low, np.float32)
+    if len(some):
+        padded = np.concatenate([codes[low:high], np.zeros(SCORED, np.int64)])
+        x = np.lib.stride_tricks.sliding_window_view(padded, SCORED)[starts[some] - low]
+        for k in range(0, len(some), 512):
+            for e, s in zip(model.emissions(x[k : k + 512]), starts[some[k : k + 512]] - low):
+                total[s : s + SCORED] += e * _CENTRAL[:, None]
+                weight[s : s + SCORED] += _CENTRAL
+    total /= np.maximum(weight, 1)[:, None]
+    total[weight == 0, 1:] = -1e4
+    return total[a - low : b - low]
+
+
+def _stretches(e: np.ndarray) -> list[tuple[int, int]]:
+    """The parts of some scored characters in which a span can lie, apart from each other."""
+    near = np.flatnonzero(e[:, 1:].max(1) > e[:, 0] - QUIET)
+    if not len(near):
+        return []
+    gaps = np.flatnonzero(np.diff(near) > APART)
+    firsts, lasts = near[np.concatenate([[0], gaps + 1])], near[np.concatenate([gaps, [len(near) - 1]])]
+    return [(max(0, a - 1), min(len(e), b + 2)) for a, b in zip(firsts.tolist(), lasts.tolist())]
+
+
+def tagged(model: Tagger, texts: list[str], all_windows: bool = False) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) of the tagger's spans in each text."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    jobs = [(i, a, b) for i, text in enumerate(texts) for a, b in _stretches(text)]
-    codes = {i: _classes(texts[i]) for i in {j[0] for j in jobs}}
-    for k in range(0, len(jobs), 256):
-        part = jobs[k : k + 256]
-        at = [(j, s) for j, (_, a, b) in enumerate(part) for s in range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE)]
-        scores = [np.zeros((b - a, LABELS), np.float32) for _, a, b in part]
-        total = [np.zeros(b - a, np.float32) for _, a, b in part]
-        for p in range(0, len(at), 512):
-            some = at[p : p + 512]
-            x = np.zeros((len(some), WINDOW), np.int64)
-            for row, (j, s) in enumerate(some):
-                c = codes[part[j][0]][s : min(s + WINDOW, part[j][2])]
-                x[row, : len(c)] = c
-            for e, (j, s) in zip(model.emissions(x), some):
-                _, a, b = part[j]
-                n = min(WINDOW, b - s)
-                scores[j][s - a : s - a + n] += e[:n] * _CENTRAL[:n, None]
-                total[j][s - a : s - a + n] += _CENTRAL[:n]
-        for (i, a, b), e, w in zip(part, scores, total):
-            path = model.decode(e / w[:, None])
-            begins = np.flatnonzero(path % 2 == 1)
-            for s in begins.tolist():
-                kind, end = (int(path[s]) - 1) // 2, s + 1
-                while end < len(path) and path[end] == path[s] + 1:
-                    end += 1
-                piece = texts[i][a + s : a + end]
-                trimmed = piece.strip(" \n.,;:!&*%|")
-                start = a + s + piece.find(trimmed)
-                if trimmed and _plausible(kind, trimmed):
-                    out[i].append((start, kind, start + len(trimmed)))
-                elif kind == 2:  # several numbers in a row: each unbroken one by itself
-                    out[i] += [(start + m.start(), 2, start + m.end()) for m in re.finditer(r"[0-9]+", trimmed) if _plausible(2, m[0])]
+    short = [i for i, t in enumerate(texts) if 0 < len(t) <= SECTION // 8]
+    long = [i for i, t in enumerate(texts) if len(t) > SECTION // 8]
+    # Short texts are scored together. Each begins at a multiple of STRIDE, line
+    # feeds around it, so that its windows are the same whatever stands beside it.
+    while short:
+        taken, size = 0, 0
+        while taken < len(short) and size < SECTION:
+            size += len(texts[short[taken]]) + LEAD
+            taken += 1
+        group, short = short[:taken], short[taken:]
+        text, starts = _laid([texts[i] for i in group])
+        e = _scores(model, text, _classes(text), 0, len(text), all_windows)
+        for a, b in _stretches(e):
+            found: list[tuple[int, int, int]] = []
+            _decoded(model, text, a, e[a:b], found)
+            for x, kind, y in found:
+                k = int(np.searchsorted(starts, x, "right")) - 1
+                out[group[k]].append((x - int(starts[k]), kind, y - int(starts[k])))
+    for i in long:
+        text, starts = _laid([texts[i]])
+        codes, at, size, found = _classes(text), 0, SECTION, []
+        # Sections of a long text end in quiet, so that no stretch is cut (but one of 16 sections).
+        while at < len(text):
+            end = min(len(text), at + size)
+            e = _scores(model, text, codes, at, end, all_windows)
+            parts = _stretches(e)
+            if end < len(text) and parts and parts[-1][1] >= len(e) - 1 - APART:
+                if parts[-1][0] == 0 and size < 16 * SECTION:
+                    size *= 2
+                    continue
+                if parts[-1][0] > 0:
+                    end = at + parts.pop()[0]
+            size = SECTION
+            for a, b in parts:
+                _decoded(model, text, at + a, e[a:b], found)
+            at = end
+        out[i] = [(x - LEAD, kind, y - LEAD) for x, kind, y in found]
     return out
 
 
+#: Line feeds before the first text of a group: a multiple of STRIDE, and more than a window.
+LEAD = 2 * STRIDE
+
+
+def _laid(texts: list[str]) -> tuple[str, np.ndarray]:
+    """Texts one after another with line feeds between, and where each begins."""
+    parts, starts, at = ["\n" * LEAD], [], LEAD
+    for t in texts:
+        gap = LEAD + -len(t) % STRIDE
+        parts += [t, "\n" * gap]
+        starts.append(at)
+        at += len(t) + gap
+    return "".join(parts), np.array(starts)
+
+
+def _decoded(model: Tagger, text: str, at: int, e: np.ndarray, out: list[tuple[int, int, int]]) -> None:
+    """Adds the plausible spans of one stretch, whose first character is at ``at``."""
+    if (e[:, 1:].max(1) < e[:, 0] - 2 * QUIET).all():
+        return
+    path = model.decode(e)
+    for s in np.flatnonzero(path % 2 == 1).tolist():
+        kind, end = (int(path[s]) - 1) // 2, s + 1
+        while end < len(path) and path[end] == path[s] + 1:
+            end += 1
+        piece = text[at + s : at + end]
+        trimmed = piece.strip(" \n.,;:!&*%|")
+        start = at + s + piece.find(trimmed)
+        if kind == 0 and trimmed:  # to the borders of its words
+            stop = start + len(trimmed)
+            while start and (text[start - 1].isalnum() or text[start - 1] in "._%+-"):
+                start -= 1
+            while stop < len(text) and (text[stop].isalnum() or text[stop] == "-"):
+                stop += 1
+            trimmed = text[start:stop]
+        if trimmed and _plausible(kind, trimmed):
+            out.append((start, kind, start + len(trimmed)))
+        elif kind == 2:  # several numbers in a row: each unbroken one by itself
+            out += [(start + m.start(), 2, start + m.end()) for m in re.finditer(r"[0-9]+", trimmed) if _plausible(2, m[0])]
+
+
 def spans_of(model: Tagger, texts: list[str]) -> list[tuple[list, list]]:
     """Per text its base spans, and all spans: the base's and the tagger's that touch none of them."""
     found = []
@@ -387,22 +498,14 @@ def spans_of(model: Tagger, texts: list[str]) -> list[tuple[list, list]]:
     return found
 
 
-_TRIGGER = np.zeros(256, bool)
-_TRIGGER[[*b"0123456789@"]] = True
-
-
-def _found(batch: pa.RecordBatch, model: Tagger) -> tuple[list[str | None], list[tuple[list, list]]]:
-    """Texts that can hold a span (the rest as None) and all rows' spans."""
+def _found(batch: pa.RecordBatch, model: Tagger) -> tuple[list[str], list[tuple[list, list]]]:
+    """All rows' texts and spans; equal texts of a batch are read once."""
     data, offsets = utf8(batch.column("text"))
-    marks = np.concatenate([[0], np.cumsum(_TRIGGER[data] | ((data == ord("a")) & (np.roll(data, -1) == ord("t")) & np.isin(np.roll(data, 1), [ord("["), ord("(")])))])
-    holds = np.flatnonzero(np.diff(marks[offsets]) > 0)
     raw = memoryview(data)
-    texts: list[str | None] = [None] * (len(offsets) - 1)
-    out: list[tuple[list, list]] = [([], [])] * len(texts)
-    some = [bytes(raw[offsets[i] : offsets[i + 1]]).decode("utf-8", "replace") for i in holds]
-    for i, text, spans in zip(holds.tolist(), some, spans_of(model, some)):
-        texts[i], out[i] = text, spans
-    return texts, out
+    texts = [bytes(raw[a:b]).decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    kinds = list(dict.fromkeys(texts))
+    known = dict(zip(kinds, spans_of(model, kinds)))
+    return texts, [known[t] for t in texts]
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -418,9 +521,10 @@ def find(docs: DataFrame, text: str = "text", model: Tagger | None = None) -> Da
 
     Spans read kind:start:end (code points, end exclusive), by start and then
     kind. A null text counts as empty and has none. Rows are judged one by one
-    by their whole texts; only doc_id and the text are read.
+    by their whole texts, so rows that repeat get equal spans and an empty table
+    gives none; only doc_id and the text are read, so columns cannot clash.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_weights(model or train()))
+    shared = docs.sparkSession.sparkContext.broadcast(_weights(model or fitted()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
@@ -452,8 +556,8 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, text: str = "text", model: Tagger | None = None) -> DataFrame:
-    """``docs`` with the personal data in ``text`` replaced; other columns and null texts stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(_weights(model or train()))
+    """``docs`` with the personal data in ``text`` replaced; other columns, whatever their names, and null texts stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(_weights(model or fitted()))
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -472,3 +576,7 @@ def redact(docs: DataFrame, text: str = "text", model: Tagger | None = None) ->
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(lean(run), docs.schema)
+
+
+if __name__ == "__main__":
+    np.savez_compressed(os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.npz"), **train().w)
