@@ -8,11 +8,13 @@ lies inside some shard. A shard's fingerprints are indexed by a BK-tree
 (children keyed by their Hamming distance to the parent); a search follows
 only the edges within the radius of its own distance.
 
-The trees stay with their shards: the whole set of trees grows with the corpus
-and has no size that could be broadcast safely, so the queries are dealt to
-the trees instead. Equal fingerprints are one node; a shard that still holds
-many is dealt again by its remaining bits. A shard yields a spanning forest of
-its links, never all pairs.
+Up to ``BROADCAST`` distinct fingerprints (counted first), they are broadcast
+once and a task is a list of shards: it builds each shard's tree from them and
+searches it, and nothing but shard numbers is shuffled. Beyond, the whole set of
+trees has no size that could be broadcast safely, so fingerprints are dealt to
+their shards instead; trees, searches and links are the same. Equal fingerprints
+are one node; a shard that still holds many is dealt again by its remaining
+bits. A shard yields a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -27,14 +29,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import Forest, components, cut, few, lean, utf8
+from .common import Forest, back_to_rows, components, cut, few, lean, utf8
 
 SEED = 42
 RADIUS = 4
 #: Fingerprints in a shard beyond which it is dealt again.
 HOT_SHARD = 20_000
-#: Members of a BK-tree's leaf, which are compared one by one.
-LEAF = 64
+#: Distinct fingerprints that are broadcast at most: 16 MB.
+BROADCAST = 1 << 21
+#: Fingerprints that a shard holds on average at least, so that few trees are built, and at most.
+SMALL_SHARD, LARGE_SHARD = 256, 4096
 
 
 def fingerprint_of(words: list[bytes], shingle: int) -> int:
@@ -96,14 +100,11 @@ class BKTree:
         self.root = self._build(np.arange(len(points)))
 
     def _build(self, members: np.ndarray):
-        """A leaf is its members; a node is (point, {distance: subtree})."""
+        """A node is (point, {distance to it: subtree})."""
         top: dict = {}
         todo = [(members, top, 0)]
         while todo:
             members, into, key = todo.pop()
-            if len(members) <= LEAF:
-                into[key] = members
-                continue
             node = members[0]
             d = np.bitwise_count(self.points[members[1:]] ^ self.points[node])
             children: dict = {}
@@ -117,13 +118,6 @@ class BKTree:
         todo = [(self.root, np.arange(len(queries)))]
         while todo:
             node, asked = todo.pop()
-            if isinstance(node, np.ndarray):
-                for k in range(0, len(asked), 4096):
-                    some = asked[k : k + 4096]
-                    q, p = np.nonzero(np.bitwise_count(queries[some][:, None] ^ self.points[node][None, :]) <= radius)
-                    if len(q):
-                        yield some[q], node[p]
-                continue
             point, children = node
             d = np.bitwise_count(queries[asked] ^ self.points[point]).astype(np.int64)
             near = asked[d <= radius]
@@ -151,14 +145,59 @@ def _blocks(n: int, low: int = 0, high: int = 64) -> list[tuple[int, int]]:
 
 
 def plan(n: int, radius: int) -> list[list[tuple[int, int]]]:
-    """For each way of dealing: its blocks. More fingerprints take longer keys and more ways."""
+    """For each way of dealing: its blocks. More fingerprints take longer keys and more ways; few take parts of blocks."""
     for blocks in range(radius + 1, 13):
         keys = [list(k) for k in combinations(_blocks(blocks), blocks - radius)]
-        if n / 2.0 ** min(sum(w for _, w in k) for k in keys) <= 4096:
+        if n / 2.0 ** min(sum(w for _, w in k) for k in keys) <= LARGE_SHARD:
             break
+    if blocks == radius + 1:
+        # Values that agree in a block agree in a part of it.
+        width = max(1, min(w for k in keys for _, w in k), 1)
+        while width > 1 and n / 2.0**width < SMALL_SHARD:
+            width -= 1
+        keys = [[(start, min(w, width)) for start, w in k] for k in keys]
     return keys
 
 
+def _shard_values(points: np.ndarray, key: list[tuple[int, int]]) -> np.ndarray:
+    """Each fingerprint's bits in these blocks, as one number."""
+    out = np.zeros(len(points), np.uint64)
+    for start, width in key:
+        out = out << np.uint64(width) | (points >> np.uint64(start)) & np.uint64((1 << width) - 1)
+    return out
+
+
+def broadcast_links(distinct: DataFrame, radius: int, ways: list[list[tuple[int, int]]], n: int) -> DataFrame:
+    """Links (a, b) by trees built from the broadcast fingerprints; n: their number, at most BROADCAST."""
+    spark = distinct.sparkSession
+    points = np.sort(distinct.select("fp").toArrow()["fp"].to_numpy().view(np.uint64))  # at most 8 * BROADCAST bytes
+    shared = spark.sparkContext.broadcast(points)
+    bits = [sum(w for _, w in k) for k in ways]
+    shards = sum(1 << b for b in bits)
+    numbers = spark.range(0, shards, 1, max(1, min(shards, n * len(ways) // 2000 + 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, held = shared.value, {}
+        first = np.cumsum([0] + [1 << b for b in bits])
+        for batch in batches:
+            out = []
+            for number in batch.column(0).to_pylist():
+                way = int(np.searchsorted(first, number, "right")) - 1
+                if way not in held:
+                    values = _shard_values(points, ways[way])
+                    held = {way: (order := np.argsort(values, kind="stable"), values[order])}
+                order, values = held[way]
+                a, b = np.searchsorted(values, [number - first[way], number - first[way] + 1]).tolist()
+                p = points[order[a:b]]
+                if len(p) > 1 and (pairs := shard_links(p, radius)):
+                    out.append(p[np.array(pairs)])
+            if out:
+                found = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].view(np.int64)), pa.array(found[:, 1].view(np.int64))], names=["a", "b"])
+
+    return numbers.mapInArrow(lean(run), "a long, b long")
+
+
 def _value(blocks: list[tuple[int, int]]) -> Column:
     """The bits of ``fp`` in these blocks, as one number."""
     out = F.lit(0).cast("long")
@@ -171,10 +210,12 @@ def _dealt(ways: list[list[tuple[int, int]]]) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(i).alias("way"), _value(k).alias("value")) for i, k in enumerate(ways)]))
 
 
-def links(distinct: DataFrame, radius: int, hot_shard: int = HOT_SHARD) -> DataFrame:
+def links(distinct: DataFrame, radius: int, hot_shard: int = HOT_SHARD, broadcast: int = BROADCAST) -> DataFrame:
     """Links (a, b) that span the same components as all pairs of ``fp`` within ``radius``."""
     n = distinct.count()
     ways = plan(n, radius)
+    if n <= broadcast:
+        return broadcast_links(distinct, radius, ways, n)
     shards = distinct.select("fp", _dealt(ways).alias("s")).select("fp", "s.way", "s.value")
     sizes = shards.groupBy("way", "value").count()
     hot = sizes.where(F.col("count") > hot_shard).select("way", "value", F.lit(True).alias("hot"))
@@ -224,9 +265,15 @@ def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows (fingerprint, component_id): the least doc_id reachable from each fingerprint."""
     distinct = cut(few(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")), prints.count()))
     root = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select(F.col("fp").alias("fingerprint"), "component_id")
+    # Fingerprints without a link are their own group; only the others meet by root.
+    linked = distinct.join(root.select(F.col("node").alias("fp"), "root"), "fp").select("fp", "least", "root")
+    sizes = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    sizes = cut(few(sizes, prints.count()))
+    most = sizes.agg(F.sum("n")).first()[0] or 0
+    heavy = sizes.where(F.col("n") > max(1000, most // 1000)).select("root")
+    met = back_to_rows(linked.select("fp", "root"), sizes.select("root", "component_id"), ["root"], heavy).select(F.col("fp").alias("fingerprint"), "component_id")
+    alone = distinct.join(root.select(F.col("node").alias("fp")), "fp", "left_anti").select(F.col("fp").alias("fingerprint"), F.col("least").alias("component_id"))
+    return met.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, text: str = "text") -> DataFrame:
@@ -234,11 +281,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, tex
 
     Null and empty texts have fingerprint zero and link like any other. A
     group without any doc_id has component_id null. Rows of equal doc_id stay
-    apart in the result. Only doc_id and the text are read, so further columns
-    cannot clash.
+    apart in the result. An empty table gives no rows. Only doc_id and the text
+    are read, so further columns cannot clash.
     """
     prints = cut(fingerprints(docs, shingle, text))
-    return prints.join(groups(prints, radius), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    rows = prints.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    heavy = rows.where(F.col("n") > max(1000, prints.count() // 1000)).select("fingerprint")
+    return back_to_rows(prints, groups(prints, radius), ["fingerprint"], heavy).select("doc_id", "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = minhash.SIMILARITY, text: str = "text") -> DataFrame:

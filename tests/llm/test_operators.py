@@ -212,8 +212,8 @@ def test_fingerprints_bit_by_bit(spark):
         assert got[i] & (2**64 - 1) == want
 
 
-@pytest.mark.parametrize("hot", [20_000, 10])
-def test_links_of_fingerprints_are_whole(spark, hot):
+@pytest.mark.parametrize(("hot", "broadcast"), [(20_000, 0), (10, 0), (20_000, 1 << 21)])
+def test_links_of_fingerprints_are_whole(spark, hot, broadcast):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**63, 40, dtype=np.uint64)
     points = {int(c) for c in centres} | {0}
@@ -232,11 +232,36 @@ def test_links_of_fingerprints_are_whole(spark, hot):
             break
         lab = new
     distinct = spark.createDataFrame([(int(x),) for x in p.view(np.int64)], "fp long")
-    root = {r.node: r.root for r in components(simhash.links(distinct, 4, hot)).collect()}
+    root = {r.node: r.root for r in components(simhash.links(distinct, 4, hot, broadcast)).collect()}
     ids = [root.get(int(x), int(x)) for x in p.view(np.int64)]
     assert len(set(zip(ids, lab.tolist()))) == len(set(ids)) == len(set(lab.tolist()))
 
 
+def test_groups_of_documents_end_to_end(spark):
+    """Every document's fingerprint and component by brute force over all pairs."""
+    r = random.Random(8)
+    texts = []
+    for _ in range(40):
+        base = [f"w{r.randint(0, 5000)}" for _ in range(r.randint(0, 400))]
+        for _ in range(r.randint(1, 6)):
+            copy = list(base)
+            for _ in range(r.randint(0, 2)):
+                if copy:
+                    copy[r.randrange(len(copy))] = "other"
+            texts.append(" ".join(copy))
+    texts += [None, "", texts[3], texts[3].upper()]
+    docs = spark.createDataFrame([(1000 - i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    prints = [simhash.fingerprint_of((t or "").lower().encode().split(), 4) for t in texts]
+    label = list(range(len(texts)))
+    while True:
+        new = [max(label[j] for j in range(len(texts)) if (prints[i] ^ prints[j]).bit_count() <= 4) for i in range(len(texts))]
+        if new == label:
+            break
+        label = new
+    got = {x.doc_id: (x.fingerprint & (2**64 - 1), x.component_id) for x in simhash.near_duplicates(docs, 4, 4).collect()}
+    assert got == {1000 - i: (prints[i], 1000 - label[i]) for i in range(len(texts))} and len(set(label)) < len(texts) - 20
+
+
 def test_tree_finds_all_within_radius():
     rng = np.random.default_rng(5)
     p = np.unique(rng.integers(0, 2**16, 3000, dtype=np.uint64))
