@@ -104,12 +104,13 @@ QUIET, APART = 7.0, 4
 SECTION = 1 << 18
 #: Labels: 0 outside; 1 + 2 k begins and 2 + 2 k continues a span of kind k.
 LABELS = 1 + 2 * len(KINDS)
-#: Character classes: ASCII, other letters, the rest; 0 pads.
+#: Character classes: ASCII (capitals as small letters), other letters, the rest; 0 pads.
 CLASSES = 130
 
 
 def _classes(text: str) -> np.ndarray:
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.where((code >= ord("A")) & (code <= ord("Z")), code + 32, code)
     return np.where(code < 128, code, np.where(code >= 0xC0, 128, 129)).astype(np.int64)
 
 
@@ -308,7 +309,7 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 _TRAINED: dict[tuple[int, int, int], dict[str, np.ndarray]] = {}
 
 
-def train(steps: int = 400, batch: int = 64, seed: int = 5) -> Tagger:
+def train(steps: int = 1000, batch: int = 64, seed: int = 5) -> Tagger:
     """A tagger trained by Adam on seeded labelled windows; the same for the same arguments."""
     key = (steps, batch, seed)
     if key not in _TRAINED:
