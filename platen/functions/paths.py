@@ -75,3 +75,8 @@ def mount_unescaped(c: Column) -> Column:
     for code, text in ((r"\\040", " "), (r"\\011", "\t"), (r"\\012", "\n"), (r"\\134", r"\\")):
         c = F.regexp_replace(c, code, text)
     return c
+
+
+def families(stem: Column) -> Column:
+    """A stem without the numbers that counting puts behind it: names of two families never meet."""
+    return F.regexp_replace(stem, r"(-[0-9]+)+$", "")

@@ -89,5 +89,6 @@ def validated(states: DataFrame, ranges: dict[str, tuple[float, float]], newest:
 
 
 def parsed(edits: DataFrame, schema: str, json: str = "json") -> DataFrame:
-    """Edit documents as structs; text that is no document fails the query."""
-    return edits.withColumn("state", F.from_json(json, schema, {"mode": "FAILFAST"}))
+    """Edit documents as structs; text that is no document has a null state and fails no other."""
+    state = F.from_json(json, schema, {"mode": "PERMISSIVE"})
+    return edits.withColumn("state", F.when(F.try_parse_json(F.col(json)).isNotNull(), state))

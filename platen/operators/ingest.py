@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import is_supported
+from ..functions.paths import families, is_supported
 
 
 def listing(spark: SparkSession, root: str, kinds: tuple[str, ...] = ("arw",)) -> DataFrame:
@@ -87,16 +88,40 @@ def wall_clock(text: Column) -> Column:
 def placed(sources: DataFrame, there: DataFrame) -> DataFrame:
     """Where card files go: (id, folder, name, placed, already).
 
-    A file whose content its folder holds under any name of its own is already
-    there. Others that want a taken name get -2, -3 … in order of id; the
-    same content twice on the card is copied once.
+    In order of id. A file whose wanted name is free takes it. Where the name is
+    held by the same content, the file is already there; where by another, the
+    next of name-2, name-3 ... is looked at in the same way. Names are settled
+    within a folder and a family of stems, which are dealt to tasks; a task
+    keeps the names of one family at a time.
     """
-    want = sources.join(there.select("folder", "content_hash").distinct().withColumn("_held", F.lit(True)), ["folder", "content_hash"], "left")
-    twin = F.row_number().over(Window.partitionBy("folder", "content_hash").orderBy("id"))
-    want = want.withColumn("_twin", twin).withColumn("already", F.col("_held").isNotNull() | (F.col("_twin") > 1))
-    taken = there.groupBy("folder", "name").agg(F.count("*").alias("_taken"))
-    want = want.join(taken, ["folder", "name"], "left")
-    turn = F.row_number().over(Window.partitionBy("folder", "name", "already").orderBy("id")) + F.coalesce("_taken", F.lit(0))
-    stem, ext = F.regexp_extract("name", r"^(.*)\.[^.]*$", 1), F.regexp_extract("name", r"\.([^.]*)$", 1)
-    named = F.when(turn == 1, F.col("name")).otherwise(F.concat(stem, F.lit("-"), turn.cast("string"), F.lit("."), ext))
-    return want.select("id", "folder", "name", F.when(~F.col("already"), named).alias("placed"), "already")
+
+    def run(batches):
+        family, held, chains = None, {}, {}
+        for batch in batches:
+            out = []
+            for folder, f, kind, id_, name, content in zip(*(batch.column(c).to_pylist() for c in ("folder", "_f", "_kind", "id", "name", "content_hash"))):
+                if (folder, f) != family:
+                    family, held, chains = (folder, f), {}, {}
+                if not kind:
+                    held.setdefault(name, content)
+                    continue
+                stem, _, ext = name.rpartition(".") if "." in name else (name, "", "arw")
+                # The names looked at so far for this one, by content, and the number of the next.
+                chain = chains.setdefault(name, [{}, 1])
+                while (target := name if chain[1] == 1 else f"{stem}-{chain[1]}.{ext}") in held:
+                    chain[0].setdefault(held[target], target)
+                    chain[1] += 1
+                already = content is not None and content in chain[0]
+                if not already:
+                    held[target] = content
+                out.append((id_, folder, name, None if already else target, already))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["id", "folder", "name", "placed", "already"])
+
+    def side(rows: DataFrame, kind: int, key: Column) -> DataFrame:
+        stem = F.regexp_replace("name", r"\.[^.]*$", "")
+        return rows.where("name IS NOT NULL").select(key.cast("long").alias("id"), F.col("folder").cast("string").alias("folder"), "name", "content_hash", F.lit(kind).alias("_kind"), families(stem).alias("_f"))
+
+    both = side(there, 0, F.lit(None)).unionByName(side(sources, 1, F.col("id")))
+    dealt = both.repartition("folder", "_f").sortWithinPartitions("folder", "_f", "_kind", "id", "name", "content_hash")
+    return dealt.mapInArrow(run, "id long, folder string, name string, placed string, already boolean")

@@ -90,7 +90,7 @@ def hash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "relink_unique",
     """WITH f AS (SELECT doc_id, source || '/' || doc_id AS path, sha256(coalesce(text, '')) AS h FROM documents),
-miss AS (SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE h END AS h FROM f WHERE doc_id % 3 = 0), cand AS (SELECT path, h FROM f WHERE doc_id % 3 = 1), held AS (SELECT path FROM f WHERE doc_id % 12 = 1),
+miss AS (SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE h END AS h FROM f WHERE doc_id % 3 = 0), cand AS (SELECT path, h FROM f WHERE doc_id % 3 <> 0), held AS (SELECT path FROM f WHERE doc_id % 12 = 1),
 first AS (SELECT h, min(path) AS path FROM cand WHERE path NOT IN (SELECT path FROM held) GROUP BY h), twins AS (SELECT h, count(*) AS n FROM miss WHERE h IS NOT NULL GROUP BY h)
 SELECT id, CASE WHEN m.h IS NOT NULL AND first.path IS NOT NULL AND n = 1 THEN first.path END AS path,
 CASE WHEN m.h IS NULL THEN 'unhashed' WHEN first.path IS NULL THEN 'still_missing' WHEN n > 1 THEN 'ambiguous' ELSE 'relinked' END AS outcome
@@ -100,7 +100,7 @@ def relink_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Library(spark, sf_dir).raw("documents")
     f = d.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
     missing = f.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 9 != 0, F.col("content_hash")).alias("content_hash"))
-    return I.relinked(missing, f.where("doc_id % 3 = 1").select("path", "content_hash"), f.where("doc_id % 12 = 1"))
+    return I.relinked(missing, f.where("doc_id % 3 <> 0").select("path", "content_hash"), f.where("doc_id % 12 = 1"))
 
 
 @query("ingest_day_folder", sql(" SELECT id, coalesce(strftime(to_timestamp(captured_at) AT TIME ZONE 'UTC', '%Y/%Y-%m-%d'), 'undated') AS folder FROM files"))
@@ -120,19 +120,28 @@ def ingest_wall_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ingest_dedupe",
-    """WITH card AS (SELECT doc_id AS id, lang AS folder, 'IMG_' || (doc_id % 50) || '.ARW' AS name, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 2 = 0),
-there AS (SELECT lang AS folder, 'IMG_' || doc_id || '.ARW' AS name, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id < 40 OR doc_id % 101 = 0),
-w AS (SELECT card.*, EXISTS (SELECT 1 FROM there t WHERE t.folder = card.folder AND t.h = card.h) OR row_number() OVER (PARTITION BY folder, h ORDER BY id) > 1 AS already FROM card),
-t AS (SELECT folder, name, count(*) AS n FROM there GROUP BY ALL),
-k AS (SELECT w.*, row_number() OVER (PARTITION BY w.folder, w.name, already ORDER BY id) + coalesce(n, 0) AS turn FROM w LEFT JOIN t ON t.folder = w.folder AND t.name = w.name)
-SELECT id, folder, name, CASE WHEN already THEN NULL WHEN turn = 1 THEN name ELSE regexp_replace(name, '\\.ARW$', '') || '-' || turn || '.ARW' END AS placed, already FROM k""",
+    """WITH RECURSIVE d AS (SELECT doc_id, lang AS folder, doc_id % 4 = 0 AS old, 'IMG_' || (doc_id % 97) || CASE WHEN doc_id % 5 = 0 THEN '-2' ELSE '' END AS stem, sha256(coalesce(text, '')) AS h FROM documents),
+held AS (SELECT folder, stem || '.ARW' AS name, min(h) AS h FROM d WHERE old GROUP BY ALL),
+card AS (SELECT doc_id AS id, folder, stem, h, regexp_replace(stem, '(-[0-9]+)+$', '') AS f FROM d WHERE NOT old),
+n AS (SELECT *, row_number() OVER (PARTITION BY folder, f ORDER BY id) AS i FROM card),
+r AS (SELECT folder, f, 0::BIGINT AS i, NULL::BIGINT AS id, NULL::VARCHAR AS name, NULL::VARCHAR AS placed, NULL::BOOLEAN AS already,
+    coalesce((SELECT map_from_entries(list((x.name, x.h))) FROM held x WHERE x.folder IS NOT DISTINCT FROM k.folder AND regexp_replace(x.name, '(-[0-9]+)*\\.ARW$', '') = k.f), map([]::VARCHAR[], []::VARCHAR[])) AS taken
+    FROM (SELECT DISTINCT folder, f FROM n) k
+  UNION ALL
+  SELECT folder, f, i, id, name, CASE WHEN already THEN NULL ELSE t END, already, CASE WHEN already THEN taken ELSE map_concat(taken, map([t], [h])) END
+  FROM (SELECT *, tries[free] AS t, list_contains(list_transform(tries[1:free - 1], lambda x: taken[x]), h) AS already
+    FROM (SELECT *, list_position(list_transform(tries, lambda x: taken[x] IS NULL), true) AS free
+      FROM (SELECT n.folder, n.f, n.i, n.id, n.stem || '.ARW' AS name, n.h, r.taken, list_transform(range(1, cardinality(r.taken)::BIGINT + 2), lambda k: CASE WHEN k = 1 THEN n.stem ELSE n.stem || '-' || k END || '.ARW') AS tries
+        FROM r JOIN n ON n.folder IS NOT DISTINCT FROM r.folder AND n.f = r.f AND n.i = r.i + 1))))
+SELECT id, folder, name, placed, already FROM r WHERE i > 0""",
 )
 def ingest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Library(spark, sf_dir).raw("documents")
-    hash = F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash")
-    card = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("folder"), F.concat(F.lit("IMG_"), (F.col("doc_id") % 50).cast("string"), F.lit(".ARW")).alias("name"), hash)
-    there = d.where("doc_id < 40 OR doc_id % 101 = 0").select(F.col("lang").alias("folder"), F.concat(F.lit("IMG_"), F.col("doc_id").cast("string"), F.lit(".ARW")).alias("name"), hash)
-    return I.placed(card, there)
+    """Every document is a file, three quarters of them on the card and the others in the folder."""
+    stem = F.concat(F.lit("IMG_"), (F.col("doc_id") % 97).cast("string"), F.when(F.col("doc_id") % 5 == 0, "-2").otherwise(""))
+    d = Library(spark, sf_dir).raw("documents").select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("folder"), F.concat(stem, F.lit(".ARW")).alias("name"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), (F.col("doc_id") % 4 == 0).alias("old")
+    )
+    return I.placed(d.where("NOT old"), d.where("old").groupBy("folder", "name").agg(F.min("content_hash").alias("content_hash")))
 
 
 @query(
@@ -238,9 +247,22 @@ def stage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- export and streaming -----------------------------------------------------------------------------
 
 
-@query("export_names", "SELECT p_partkey AS id, p_name || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.jpg' AS output FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS n FROM part)")
+@query(
+    "export_names",
+    """WITH RECURSIVE w AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) || CASE WHEN p_partkey % 7 = 0 THEN '-2' ELSE '' END AS stem, p_partkey % 50 AS shelf FROM part),
+n AS (SELECT id, stem || '_' || shelf || CASE WHEN id % 11 = 0 THEN '-2' ELSE '' END AS stem FROM w),
+k AS (SELECT *, regexp_replace(lower(stem), '(-[0-9]+)+$', '') AS f, row_number() OVER (PARTITION BY regexp_replace(lower(stem), '(-[0-9]+)+$', '') ORDER BY id) AS i FROM n),
+r AS (SELECT f, 0::BIGINT AS i, NULL::BIGINT AS id, NULL::VARCHAR AS name, []::VARCHAR[] AS taken FROM (SELECT DISTINCT f FROM k)
+  UNION ALL
+  SELECT f, i, id, name, list_append(taken, lower(name))
+  FROM (SELECT k.f, k.i, k.id, r.taken, list_filter(list_transform(range(1, len(r.taken) + 2), lambda x: CASE WHEN x = 1 THEN k.stem ELSE k.stem || '-' || x END), lambda t: NOT list_contains(r.taken, lower(t)))[1] AS name
+    FROM r JOIN k ON k.f = r.f AND k.i = r.i + 1))
+SELECT id, name || '.jpg' AS output FROM r WHERE i > 0""",
+)
 def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Library(spark, sf_dir).raw("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("stem"))
+    w = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.when(F.col("p_partkey") % 7 == 0, "-2").otherwise(""))
+    stem = F.concat(w, F.lit("_"), (F.col("p_partkey") % 50).cast("string"), F.when(F.col("p_partkey") % 11 == 0, "-2").otherwise(""))
+    p = Library(spark, sf_dir).raw("part").select(F.col("p_partkey").alias("id"), stem.alias("stem"))
     return X.names(p).select("id", "output")
 
 

@@ -388,13 +388,13 @@ def preset_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "profile_for_image",
     sql(
-        """, profiles AS (SELECT split_part(o_orderpriority, '-', 1) AS make, o_orderpriority AS model, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS chosen FROM orders WHERE o_orderkey % 100 = 1 GROUP BY ALL)
+        """, profiles AS (SELECT split_part(o_orderpriority, '-', 1) AS make, o_orderpriority AS model, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS chosen FROM orders GROUP BY ALL)
 SELECT images.id, chosen FROM images JOIN files ON file_id = files.id JOIN profiles ON make = camera_make AND model = camera_model"""
     ),
 )
 def profile_for_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = Library(spark, sf_dir)
-    picked = lib.raw("orders").where("o_orderkey % 100 = 1").groupBy(F.split("o_orderpriority", "-")[0].alias("make"), F.col("o_orderpriority").alias("model"))
+    picked = lib.raw("orders").groupBy(F.split("o_orderpriority", "-")[0].alias("make"), F.col("o_orderpriority").alias("model"))
     profiles = picked.agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("chosen"))
     return E.profiles_of(lib.images, lib.files, profiles).select("id", "chosen")
 

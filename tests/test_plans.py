@@ -39,3 +39,39 @@ def test_no_query_of_the_library_collects_a_product(spark, sf_dir):
 
     for name in ("lib_filter_all_axes", "coll_counts", "coll_reorder", "edit_latest", "scan_classify", "relink_unique", "profile_for_image"):
         assert "CartesianProduct" not in plan(catalogue.queries()[name](spark, sf_dir)), name
+
+
+def test_output_names_are_distinct(spark):
+    from platen.plans import export
+
+    wanted = [(1, "a"), (2, "a"), (3, "a-2"), (4, "A"), (5, "b"), (6, "a-2"), (7, "a-2-2"), (8, "b-3"), (9, "b"), (10, "b")]
+    taken, want = set(), {}
+    for i, stem in wanted:
+        n = 1
+        while (name := stem if n == 1 else f"{stem}-{n}").lower() in taken:
+            n += 1
+        taken.add(name.lower())
+        want[i] = f"{name}.jpg"
+    got = {r.id: r.output for r in export.names(spark.createDataFrame(wanted, "id long, stem string").repartition(3)).collect()}
+    assert got == want and got[2] == "a-2.jpg" and got[3] == "a-2-2.jpg"
+    assert export.names(spark.createDataFrame([], "id long, stem string")).count() == 0
+
+
+def test_placed_names_are_free(spark):
+    from platen.operators import ingest
+
+    there = [("f", "C.ARW", "x"), ("f", "C-2.ARW", "y"), ("g", "C.ARW", "x"), ("f", "Z.ARW", "q")]
+    card = [(1, "f", "C.ARW", "new"), (2, "f", "C.ARW", "y"), (3, "f", "C.ARW", "new"), (4, "f", "D.ARW", "x"), (5, "f", "D.ARW", "q"), (6, "g", "C.ARW", "x"), (7, "f", "C-3.ARW", "other"), (8, "f", "plain", "p"), (9, "f", "plain", "r")]
+    schema = "folder string, name string, content_hash string"
+    held = {(f, n): h for f, n, h in there}
+    want = {}
+    for i, f, n, h in card:
+        target, k = n, 1
+        while (f, target) in held and held[f, target] != h:
+            k += 1
+            stem, _, ext = n.rpartition(".") if "." in n else (n, "", "arw")
+            target = f"{stem}-{k}.{ext}"
+        want[i] = (None, True) if (f, target) in held else (target, False)
+        held.setdefault((f, target), h)
+    got = {r.id: (r.placed, r.already) for r in ingest.placed(spark.createDataFrame(card, "id long, " + schema).repartition(2), spark.createDataFrame(there, schema)).collect()}
+    assert got == want and got[1] == ("C-3.ARW", False) and got[2] == (None, True) and got[4] == ("D.ARW", False)
