@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("queries_library", "queries_raster", "queries_flow", "queries_tiles")
+MODULES: tuple[str, ...] = ("queries_library", "queries_raster", "queries_flow", "queries_tiles", "queries_places")
 
 
 def _merged(name: str) -> dict:

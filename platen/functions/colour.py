@@ -256,6 +256,94 @@ def lab(xyz: RGB, white: tuple[float, float, float] = WHITE_D50) -> RGB:
     return y * 116.0 - 16.0, (x - y) * 500.0, (y - z) * 200.0
 
 
+def lab_inverse(colour: RGB, white: tuple[float, float, float] = WHITE_D50) -> RGB:
+    """The XYZ of a Lab colour."""
+
+    def cube(c: Column) -> Column:
+        third = c * c * c
+        return F.when(third > 216 / 24389, third).otherwise((c * 116.0 - 16.0) * (27 / 24389))
+
+    y = (colour[0] + 16.0) / 116.0
+    x, z = y + colour[1] / 500.0, y - colour[2] / 200.0
+    return tuple(cube(c) * w for c, w in zip((x, y, z), white))  # type: ignore[return-value]
+
+
+#: The range of colour temperatures, tint steps to a unit of the chromaticity diagram, and the temperatures of illuminant codes.
+KELVIN_LOW, KELVIN_HIGH, TINT_STEPS = 1667.0, 25000.0, 3000.0
+ILLUMINANTS = {1: 5500, 2: 4200, 3: 2856, 4: 5500, 10: 5500, 11: 6500, 12: 7500, 17: 2856, 18: 4874, 19: 6774, 20: 5503, 21: 6504, 22: 7504, 23: 5003}
+#: The published cubic fits of the blackbody locus, x in 1000 / T below and above 4000 K, y in x by ranges.
+LOCUS_X = ((-0.2661239, -0.2343589, 0.8776956, 0.179910), (-3.0258469, 2.1070379, 0.2226347, 0.240390))
+LOCUS_Y = ((-1.1063814, -1.3481102, 2.1855583, -0.20219683), (-0.9549476, -1.3741859, 2.0913702, -0.16748867), (3.081758, -5.8733867, 3.75113, -0.37001483))
+
+
+def illuminant_kelvin(code: Column) -> Column:
+    """The temperature of an illuminant code; of an unknown one that of daylight."""
+    out = F.lit(6504.0)
+    for known, kelvin in ILLUMINANTS.items():
+        out = F.when(code == known, float(kelvin)).otherwise(out)
+    return out
+
+
+def _cubic(x: Column, c: tuple[float, float, float, float]) -> Column:
+    return ((x * c[0] + c[1]) * x + c[2]) * x + c[3]
+
+
+def locus(kelvin: Column) -> tuple[Column, Column]:
+    """The blackbody of a temperature in the 1960 uniform chromaticity diagram."""
+    t = F.lit(1000.0) / kelvin
+    x = F.when(kelvin < 4000, _cubic(t, LOCUS_X[0])).otherwise(_cubic(t, LOCUS_X[1]))
+    y = F.when(kelvin < 2222, _cubic(x, LOCUS_Y[0])).when(kelvin < 4000, _cubic(x, LOCUS_Y[1])).otherwise(_cubic(x, LOCUS_Y[2]))
+    below = x * -2.0 + y * 12.0 + 3.0
+    return x * 4.0 / below, y * 6.0 / below
+
+
+def uv_of(xyz: RGB) -> tuple[Column, Column]:
+    """A colour's place in the 1960 diagram; 0, 0 for none."""
+    below = xyz[0] + xyz[1] * 15.0 + xyz[2] * 3.0
+    none = F.abs(below) < 1e-9
+    return F.when(none, 0.0).otherwise(xyz[0] * 4.0 / below), F.when(none, 0.0).otherwise(xyz[1] * 6.0 / below)
+
+
+def white_point(df: DataFrame, kelvin: str, tint: str, names: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
+    """``df`` with the XYZ (Y 1) of a light: a step along the locus's normal for each unit of tint, magenta positive."""
+    own = df.columns
+    t = clamp(F.col(kelvin), KELVIN_LOW, KELVIN_HIGH)
+    d = df.withColumns({"_t": t, "_low": F.greatest(t * 0.999, lit(KELVIN_LOW)), "_high": F.least(t * 1.001, lit(KELVIN_HIGH))})
+    for at in ("t", "low", "high"):
+        u, v = locus(F.col(f"_{at}"))
+        d = d.withColumns({f"_u{at}": u, f"_v{at}": v})
+    d = d.withColumns({"_du": F.col("_uhigh") - F.col("_ulow"), "_dv": F.col("_vhigh") - F.col("_vlow")})
+    length = F.greatest(F.sqrt(F.col("_du") * F.col("_du") + F.col("_dv") * F.col("_dv")), lit(1e-9))
+    step = F.col(tint) / TINT_STEPS / length
+    d = d.withColumns({"_u": F.col("_ut") - F.col("_dv") * step, "_v": F.col("_vt") + F.col("_du") * step})
+    below = F.col("_u") * 2.0 - F.col("_v") * 8.0 + 4.0
+    d = d.withColumns({"_x": F.col("_u") * 3.0 / below, "_y": F.col("_v") * 2.0 / below})
+    none = F.abs("_y") < 1e-9
+    x, z = F.col("_x") / F.col("_y"), (1.0 - F.col("_x") - F.col("_y")) / F.col("_y")
+    return d.select(*own, F.when(none, WHITE_D50[0]).otherwise(x).alias(names[0]), F.lit(1.0).alias(names[1]), F.when(none, WHITE_D50[2]).otherwise(z).alias(names[2]))
+
+
+def hash21(x: Column, y: Column) -> Column:
+    """A cell's pseudo-random number in [0, 1), in double precision."""
+
+    def part(c: Column) -> Column:
+        return c - F.floor(c)
+
+    a, b = part(x * 0.1031), part(y * 0.1030)
+    turn = a * (b + 33.33) + b * (a + 33.33)
+    a, b = a + turn, b + turn
+    return part((a + b) * a)
+
+
+def value_noise(x: Column, y: Column) -> Column:
+    """Numbers of the four cells around a place, blended smoothly."""
+    cx, cy = F.floor(x).cast("double"), F.floor(y).cast("double")
+    fx, fy = x - cx, y - cy
+    wx, wy = fx * fx * (3.0 - 2.0 * fx), fy * fy * (3.0 - 2.0 * fy)
+    low = blend(hash21(cx, cy), hash21(cx + 1.0, cy), wx)
+    return blend(low, blend(hash21(cx, cy + 1.0), hash21(cx + 1.0, cy + 1.0), wx), wy)
+
+
 def delta_e_2000(df: DataFrame, p: tuple[str, str, str], q: tuple[str, str, str], name: str = "delta_e") -> DataFrame:
     """``df`` with the CIEDE2000 difference (unit weights) of two Lab colours, in named steps."""
     own = df.columns
