@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("queries_library", "queries_raster", "queries_flow", "queries_tiles", "queries_places")
+MODULES: tuple[str, ...] = ("queries_library", "queries_raster", "queries_flow", "queries_tiles", "queries_places", "queries_mutations")
 
 
 def _merged(name: str) -> dict:
