@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Steps kept for undo.
+#: Fixed value: steps kept for undo.
 DEPTH = 200
 
 

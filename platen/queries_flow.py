@@ -200,7 +200,17 @@ def cmd_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.current(r, r.groupBy("tile").agg(F.max("generation").alias("generation"))).select("event_id", "tile", "generation")
 
 
-@query("cmd_fold")
+@query(
+    "cmd_fold",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'set' END AS command, value::DOUBLE AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS seq, 0.0::DOUBLE AS now, []::DOUBLE[] AS past, []::DOUBLE[] AS future FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT e.user_id, e.i, e.seq, CASE WHEN command = 'set' THEN v WHEN command = 'undo' AND len(past) > 0 THEN past[-1] WHEN command = 'redo' AND len(future) > 0 THEN future[-1] ELSE now END,
+    CASE WHEN command = 'set' THEN list_append(past, now)[-{S.DEPTH}:] WHEN command = 'undo' AND len(past) > 0 THEN past[:-2] WHEN command = 'redo' AND len(future) > 0 THEN list_append(past, now) ELSE past END,
+    CASE WHEN command = 'set' THEN [] WHEN command = 'undo' AND len(past) > 0 THEN list_append(future, now) WHEN command = 'redo' AND len(future) > 0 THEN future[:-2] ELSE future END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, seq, now AS value, len(past)::INTEGER AS past, len(future)::INTEGER AS future FROM r WHERE i > 0""",
+)
 def cmd_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Library(spark, sf_dir).raw("events")
     command = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("set")
@@ -296,10 +306,10 @@ def edit_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
-@query("stream_events_debounce")
+@query("stream_events_debounce", f"SELECT * FROM ({ORACLES['edit_sessions']}) WHERE end_us <= (SELECT epoch_us(max(ts)) - 3600000000 FROM events)")
 def stream_events_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same sessions from a stream; those that the watermark leaves open are withheld."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A glob, as a stream reads folders; it takes the table whether a file or a folder.
     stream = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{sf_dir}/events.parque[t]")
-    return D.drained(spark, D.edit_sessions(stream))
+    return D.drained(spark, D.edit_sessions(stream)).select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
