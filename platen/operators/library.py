@@ -154,9 +154,25 @@ def folder_tree(folders: DataFrame, files: DataFrame, images: DataFrame) -> Data
     return out.select("id", "volume_id", "parent_id", "relative_path", F.coalesce("own", F.lit(0)).cast("long").alias("own"), "total")
 
 
-def subtree(nodes: DataFrame, root: Column | int) -> DataFrame:
-    """Ids of a node and all below it."""
-    return closure(nodes).where(F.col("ancestor") == root).select("id", "depth")
+def below(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (id, depth) of the ``roots`` (column id) that are nodes and of all below them, at their least depth.
+
+    Walks down from the roots, a join a level, so that the rest of the forest
+    is never climbed; a loop ends where it meets what is found already.
+    """
+    edges = nodes.where(F.col("parent_id").isNotNull()).select("id", "parent_id")
+    front = settled(nodes.select("id").join(roots.select("id").distinct(), "id", "left_semi").distinct().withColumn("depth", F.lit(0)))
+    found = front
+    while not front.isEmpty():
+        step = edges.join(front.select(F.col("id").alias("parent_id"), "depth"), "parent_id").groupBy("id").agg((F.min("depth") + 1).alias("depth"))
+        front = settled(step.join(found.select("id"), "id", "left_anti"))
+        found = found.unionByName(front)
+    return found
+
+
+def subtree(nodes: DataFrame, root: int) -> DataFrame:
+    """Ids of a node and all below it, with their depth."""
+    return below(nodes, nodes.where(F.col("id") == root).select("id"))
 
 
 def cells(images: DataFrame, wanted: DataFrame) -> DataFrame:

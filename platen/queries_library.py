@@ -83,7 +83,7 @@ for _name, (_filter, _where) in _FILTERS.items():
 )
 def lib_sequence_in_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = Library(spark, sf_dir)
-    below = L.closure(lib.folders).where(F.col("ancestor").isin(NATION + 3, REGION + 1)).select("id").distinct()
+    below = L.below(lib.folders, lib.folders.where(F.col("id").isin(NATION + 3, REGION + 1))).select("id")
     return _seen(lib, within=below).select(*_shown())
 
 
