@@ -34,3 +34,30 @@ def test_run_and_empty_table(spark, sf_dir, documents, tmp_path):
     assert P.run(spark, sf_dir).count() > 0
     documents.where("false").write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, ties, and columns with the operators' own names."""
+    prose = "the cat sat on a mat and the dog was not in it but they had all of that to see for the rest of this day "
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _kept boolean, _row int, row string, topic string, tokens long, h1 long"
+    rows = [
+        (1, prose + "mail a.b@c.example.com", "en", "s", 1, True, 1, "x", "t", 1, 1),
+        (1, prose + "mail a.b@c.example.com", "en", "s", 1, True, 2, "y", "t", 1, 1),
+        (None, None, None, None, None, None, None, None, None, None, None),
+        (2, "", "en", "s", 0, False, 3, "z", "u", 0, 0),
+        (3, " ".join(f"w{i} the and of to" for i in range(20_000)), "de", None, 5, None, 4, None, None, None, 2),
+    ]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        got = out.collect()
+        assert out.columns == docs.columns, name
+        if name == "quality":
+            assert sorted(r.doc_id for r in got) == [1, 1, 3]
+        elif name == "near_duplicates":
+            assert len(got) == 3 and sum(r.doc_id == 1 for r in got) <= 1 and {r["_row"] for r in got if r.doc_id == 1} == {1}
+        elif name == "personal_data":
+            assert len(got) == 5 and sum("[EMAIL]" in (r.text or "") for r in got) == 2
+        assert stage(spark, docs.where("false"), "").count() == 0
+    packed = P.packed(spark, docs, "").collect()
+    assert sorted({r.doc_id for r in packed}, key=repr) == [1, 2, 3, None] and P.packed(spark, docs.where("false"), "").count() == 0
