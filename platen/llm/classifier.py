@@ -183,7 +183,10 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
 
     A null text counts as empty; an empty one is scored by its length alone.
     Labels that are null or neither 0 nor 1 are not learnt from; without
-    labels every score is one half. A null doc_id is never held out. Only
+    labels every score is one half. Labels that disagree for one id are all
+    learnt from, and rows that repeat an id all count. Equal texts get equal
+    scores, whatever their rows; a text is scored whole, however long, in memory
+    of some hundred bytes a word of it. An empty table gives no rows. A null doc_id is never held out. Only
     doc_id, the text and the label are read, so further columns cannot clash.
     """
     model = fit(sample_rows(docs, labels, label, sample, text))
