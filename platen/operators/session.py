@@ -24,10 +24,14 @@ def steps(commands: DataFrame, order: list[str], key: list[str] = ["user_id"], s
 
 
 def debounced(writes: DataFrame, order: str, wait: int, key: str = "user_id") -> DataFrame:
-    """The saves that happen: a change with no later one of its key within ``wait`` milliseconds."""
-    after = F.lead(F.unix_millis(F.col(order).cast("timestamp"))).over(Window.partitionBy(key).orderBy(order, "event_id"))
-    gap = after - F.unix_millis(F.col(order).cast("timestamp"))
-    return writes.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") >= wait)).drop("_gap")
+    """The saves that happen: a change with no later one of its key within ``wait`` milliseconds.
+
+    Times are rounded, not cut, to whole milliseconds (halves away from the
+    epoch) before they are compared; a change without a time comes last.
+    """
+    at = F.round(F.unix_micros(F.col(order).cast("timestamp")), -3)
+    later = Window.partitionBy(key).orderBy(F.col(order).asc_nulls_last(), F.col("event_id").asc_nulls_last())
+    return writes.withColumn("_gap", F.lead(at).over(later) - at).where(F.col("_gap").isNull() | (F.col("_gap") >= wait * 1000)).drop("_gap")
 
 
 def current(results: DataFrame, heads: DataFrame, key: str = "tile") -> DataFrame:

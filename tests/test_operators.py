@@ -16,6 +16,8 @@ from platen.operators import library as L
 from platen.operators import raster as R
 from platen.operators import session as S
 
+from .conftest import rows_of
+
 
 def test_filter_of_nothing_admits_unrated_rows(spark):
     rows = spark.createDataFrame([(1, None, None, None), (2, 3, "pick", "red")], "id long, rating int, flag string, colour_label string")
@@ -161,3 +163,22 @@ def test_singular_matrix_has_no_inverse():
     assert K.invert3([[1, 2, 3], [2, 4, 6], [0, 0, 1]]) is None
     m = [[2.0, 0.0, 1.0], [0.0, 1.0, 0.0], [1.0, 0.0, 1.0]]
     assert np.allclose(np.array(m) @ np.array(K.invert3(m)), np.eye(3))
+
+
+def test_debounce_rounds_times_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from platen import catalogue
+
+    # Gaps within two milliseconds of the wait, at every part of a millisecond, on both sides of the epoch; no time at all.
+    c = duckdb.connect()
+    c.sql(
+        f"""COPY (SELECT event_id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE make_timestamp(CASE WHEN user_id % 2 = 0 THEN 1704067200000000 ELSE -9000000000 END + user_id * 37 % 1000
+            + CASE WHEN event_id % 2 = 1 THEN 7200000000 + user_id * 91 % 4001 - 2000 ELSE 0 END) END AS ts, user_id
+        FROM (SELECT i AS event_id, i // 2 AS user_id FROM range(8000) r(i))) TO '{tmp_path}/events.parquet'"""
+    )
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = c.sql(catalogue.oracle_sql()["cmd_debounce"]).df()
+    got = catalogue.queries()["cmd_debounce"](spark, str(tmp_path)).toPandas()
+    assert 4000 < len(want) < 8000
+    assert rows_of(got) == rows_of(want)
