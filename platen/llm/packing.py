@@ -23,12 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut, lean, utf8
+from .common import Words, batches_of, chunks, cut, lean, tight, utf8
 
 CAPACITY = 4096
 END = 1
 #: Distinct pieces whose ids a worker keeps (about 50 bytes each).
 KEPT_WORDS = 3 << 19
+#: Documents that a worker is sent at once: their texts lie in both processes, for each core.
+BATCH = 2000
 
 
 class Pieces(Words):
@@ -100,6 +102,7 @@ class WordTokenizer:
         holder = sys.modules.setdefault("_platen_worker", types.ModuleType("_platen_worker"))
         known = holder.__dict__.setdefault("tokenizers", {})
         if path not in known:
+            tight()
             known[path] = WordTokenizer(path)
         return known[path]
 
@@ -347,7 +350,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str =
     """
     spark = docs.sparkSession
     # Written once: ranks must not change when a task is run again.
-    made = cut(pieces(docs, tokenizer, capacity, text, with_ids))
+    with batches_of(spark, BATCH):
+        made = cut(pieces(docs, tokenizer, capacity, text, with_ids))
     by_shard = made.groupBy("length", "shard").count()
     before = by_shard.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("shard")) - F.col("count")).drop("count")
     histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
