@@ -175,12 +175,14 @@ def hot_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return ordered.mapInArrow(lean(run), "a long, b long")
 
 
-def groups(texts: DataFrame, shingle: int = 5, least: float = SIMILARITY, hot: int = HOT) -> DataFrame:
+def groups(texts: DataFrame, shingle: int = 5, least: float = SIMILARITY, hot: int = HOT, besides: DataFrame | None = None) -> DataFrame:
     """Rows (node, root): components of the texts (id long, text) with links of at least that similarity.
 
     Rows of equal id have equal texts. Only ids that share a key are returned.
+    besides: further candidates, rows (key, id); they are compared like those of a band.
     """
-    keyed = cut(bands(texts, shingle).distinct())
+    keyed = bands(texts, shingle)
+    keyed = cut((keyed if besides is None else keyed.unionByName(besides)).distinct())
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("m")).where("n > 1")
     members = cut(keyed.join(shared.select("key", "n", F.col("m.id").alias("first")), "key"))
     ids = members.select("id").distinct()

@@ -33,6 +33,8 @@ from .common import Forest, back_to_rows, components, cut, few, lean, utf8
 
 SEED = 42
 RADIUS = 4
+#: The radius of candidates that are then compared exactly.
+WIDE = 8
 #: Fingerprints in a shard beyond which it is dealt again.
 HOT_SHARD = 20_000
 #: Distinct fingerprints that are broadcast at most: 16 MB.
@@ -290,12 +292,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, tex
     return back_to_rows(prints, groups(prints, radius), ["fingerprint"], heavy).select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = minhash.SIMILARITY, text: str = "text") -> DataFrame:
+def tree_groups(texts: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """Rows (key, id): the texts (id, text) whose fingerprints the trees link, by a key of each component."""
+    prints = fingerprints(texts.select(F.col("id").alias("doc_id"), "text"), shingle)
+    prints = cut(prints.select(F.col("doc_id").alias("id"), F.col("fingerprint").alias("fp")).distinct())
+    root = components(links(cut(few(prints.select("fp").distinct(), prints.count())), radius))
+    return prints.join(root.withColumnRenamed("node", "fp"), "fp", "left").select(F.xxhash64(F.lit("tree"), F.coalesce("root", "fp")).alias("key"), "id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = minhash.SIMILARITY, text: str = "text", radius: int = WIDE) -> DataFrame:
     """The rows of ``docs`` that remain when one of each group of near duplicates stays.
 
-    Texts whose sets of shingles have at least this Jaccard similarity are
-    linked, however many bits of their fingerprints differ, and components of
-    links are groups. What stays is the row of least doc_id (null before all),
+    Candidates are the texts of one component of fingerprints that the sharded
+    trees link within ``radius`` bits, and, as alike texts may lie farther apart
+    than any radius that shards can serve, those that share a MinHash key. Of
+    them the pairs whose sets of shingles have at least this Jaccard similarity
+    are linked, and components of links are groups. What stays is the row of least doc_id (null before all),
     then of least text hash; of rows equal in both, the first by source,
     language and then the other columns. Columns of ``docs`` stay as they are.
     """
@@ -303,7 +315,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = minhash.SIMI
     t = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(t).alias("_hash"))
     # The id of a text is its hash.
-    grouped = minhash.groups(docs.select(F.xxhash64(t).alias("id"), t.alias("text")), shingle, similarity)
+    texts = docs.select(F.xxhash64(t).alias("id"), t.alias("text"))
+    grouped = minhash.groups(texts, shingle, similarity, besides=tree_groups(texts, shingle, radius))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(t).alias("_hash")).join(grouped.withColumnRenamed("node", "_hash"), "_hash", "left")
     stays = named.groupBy(F.coalesce("root", "_hash").alias("group")).agg(F.min(F.struct("doc_id", "_hash")).alias("m")).select(F.col("m.doc_id").alias("_i"), F.col("m._hash").alias("_h"))
     kept = keyed.join(stays, keyed["_id"].eqNullSafe(stays["_i"]) & (keyed["_hash"] == stays["_h"]), "left_semi")
