@@ -43,11 +43,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and topics have their target weights.
+    """A sample whose sources, languages and topics have their target weights in full.
 
-    Rows of equal doc_id share one fate; rows without a word stay, they weigh nothing.
+    Rows of scarce cells come out several times: without, the targets would leave few tokens.
+    Rows of equal doc_id share one draw; rows without a word stay once, they weigh nothing.
     """
-    return mixing.keep_rows(docs)
+    return mixing.keep_rows(docs, repeat=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

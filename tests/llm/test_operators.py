@@ -337,6 +337,26 @@ def test_default_targets_are_met_and_keep_enough(spark, sf_dir):
     assert len({r.value for r in rows if r.margin == "topic"}) >= 4
 
 
+def test_repeats_hold_the_tempered_targets_in_full(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    rows = mixing.decide(docs, repeat=True).collect()
+    total = sum(r.tokens for r in rows)
+    assert abs(sum(r.tokens * r.chance for r in rows) / total - mixing.KEEP) < 1e-9 and max(r.copies for r in rows) > 1
+    for m in mixing.MARGINS:
+        held, expected = {}, {}
+        for r in rows:
+            held[r[m]] = held.get(r[m], 0) + r.tokens
+            expected[r[m]] = expected.get(r[m], 0) + r.tokens * r.chance / total / mixing.KEEP
+        raised = {k: n**mixing.TEMPER for k, n in held.items() if n}
+        assert all(abs(expected[k] - n / sum(raised.values())) < 1e-9 for k, n in raised.items()), m
+    assert all(r.kept == (r.copies > 0) and abs(r.copies - r.chance) < 1 for r in rows)
+    kept = mixing.keep_rows(docs, repeat=True)
+    assert kept.columns == docs.columns
+    assert {r.doc_id: r["count"] for r in kept.groupBy("doc_id").count().collect()} == {r.doc_id: r.copies for r in rows if r.copies}
+    # Without, a row is kept once or not.
+    assert all(r.copies == int(r.kept) and r.chance <= 1 for r in mixing.decide(docs).collect())
+
+
 def test_given_topics_and_clashing_names(spark):
     docs = spark.createDataFrame([(i, "a b c", "s", "en", f"t{i % 2}", 1, "x", "y") for i in range(50)], "doc_id long, text string, source string, lang string, topic string, kept int, row string, draw string")
     got = mixing.decide(docs, topic="topic").collect()

@@ -30,6 +30,13 @@ def test_stages(spark, sf_dir, documents, tmp_path):
         assert r.text == pii.masked(texts[r.doc_id], pii.spans_of(model, [texts[r.doc_id]])[0][1]) and r.n_chars == len(r.text)
 
 
+def test_mixture_holds_its_targets_in_full(spark):
+    """Of 360 and 40 rows alike but in language 320 come out, 263 and 57 by the tempered shares."""
+    docs = spark.createDataFrame([(i, "a b c", "s", "de" if i % 10 == 0 else "en") for i in range(400)], "doc_id long, text string, source string, lang string")
+    got = {r.lang: r["count"] for r in P.mixture(spark, docs, "").groupBy("lang").count().collect()}
+    assert abs(got["de"] - 57) <= 9 and abs(got["en"] - 263) <= 25
+
+
 def test_run_and_empty_table(spark, sf_dir, documents, tmp_path):
     assert P.run(spark, sf_dir).count() > 0
     documents.where("false").write.parquet(str(tmp_path / "documents.parquet"))
